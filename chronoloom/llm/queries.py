@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import annindex, communities, looks, mixing, proportions
+from chronoloom.llm import annindex, communities, leaks, looks, mixing, overlap, proportions
+from chronoloom.plans.cleaning import CELLS_SQL
 from chronoloom.storage import table
 
 
@@ -31,6 +32,27 @@ def p3_described(spark: SparkSession, d: str) -> DataFrame:
     return communities.Clusters(table(spark, d, "ctrans"), table(spark, d, "hyper_parameters")).described()
 
 
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.split_overlaps(table(spark, d, "samples"), table(spark, d, "channels"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select(F.least("train_id", "test_id").alias("sample_a"), F.greatest("train_id", "test_id").alias("sample_b"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, d, "samples"), _overlaps(spark, d))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Also paraphrases, with the longest run of words, the common subsequence and the share of the answer."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), paraphrases=True)
+
+
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     out = proportions.draw_report(table(spark, d, "samples"), table(spark, d, "label_targets"))
     return out.select("plan_id", "label", "wanted", "usable", "available", "quota", "drawn", "actual_share", "short", "failed")
@@ -69,7 +91,7 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return looks.canonical_texts(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "canonical", F.coalesce(F.col("canonical") != F.col("text"), F.lit(False)).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_recall, p3_found, p3_described, p7_found, p7_report, p7_drawn, p9_found, p9_report, p9_mixed, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_recall, p3_found, p3_described, p5_found, p5_report, p7_found, p7_report, p7_drawn, p8_found, p8_leaks, p9_found, p9_report, p9_mixed, p10_found, p10_canonical)}
 
 USABLE_SQL = """
 usable AS (SELECT DISTINCT ON (c.sample_id) c.sample_id, c.dataset, c.c_trans AS v, h.k_nearest, h.k_dis_high, h.eps, h.min_samples
@@ -83,6 +105,13 @@ dist AS (SELECT a.sample_id AS a, b.sample_id AS b, a.k_nearest, a.k_dis_high, a
 LATIN = "".join(x for _, x in (looks.CYRILLIC, looks.GREEK)) + "μ" + "-" * len(looks.HYPHENS)
 FOREIGN = looks.CYRILLIC[0] + looks.GREEK[0] + "µ" + looks.HYPHENS
 
+
+def _look_sql(c: str) -> str:
+    """The form of problem 10 in SQL."""
+    wide, ascii_ = "".join(chr(0xFF01 + k) for k in range(94)), "".join(chr(0x21 + k) for k in range(94)).replace("'", "''")
+    return rf"nfc_normalize(regexp_replace(regexp_replace(translate({c}, '{FOREIGN}{wide}', '{LATIN}{ascii_}'), '\p{{Cf}}', '', 'g'), '\p{{Zs}}', ' ', 'g'))"
+
+
 ORACLE = {
     "p1_found": f"""WITH {USABLE_SQL},
 near AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM dist)
@@ -93,6 +122,24 @@ reach AS (SELECT sample_id AS a, sample_id AS m FROM usable UNION SELECT l.b, r.
 least_of AS (SELECT a AS sample_id, min(m) AS cluster_min_id FROM reach GROUP BY a),
 sized AS (SELECT l.*, u.min_samples, count(*) OVER (PARTITION BY cluster_min_id) AS n FROM least_of l JOIN usable u USING (sample_id))
 SELECT sample_id, cluster_min_id FROM sized WHERE n >= min_samples""",
+    "p5_found": f"""WITH {CELLS_SQL},
+here AS (SELECT * FROM read WHERE val IS NOT NULL),
+m AS (SELECT sample_id, var_id, median(val) AS m FROM here GROUP BY ALL),
+dev AS (SELECT r.*, abs(val - m.m) AS dv FROM here r JOIN m USING (sample_id, var_id)),
+s AS (SELECT sample_id, var_id, 1.4826 * median(dv) AS s FROM dev GROUP BY ALL),
+flag AS (SELECT d.*, d.dv > 8 * s.s AS far, row_number() OVER w AS n, lag(val) OVER w AS before FROM dev d JOIN s USING (sample_id, var_id)
+         WINDOW w AS (PARTITION BY sample_id, var_id ORDER BY pos)),
+runs AS (SELECT *, sum(CASE WHEN before = val THEN 0 ELSE 1 END) OVER (PARTITION BY sample_id, var_id ORDER BY n) AS same,
+                n - row_number() OVER (PARTITION BY sample_id, var_id, far ORDER BY n) AS stretch FROM flag),
+lens AS (SELECT *, count(*) OVER (PARTITION BY sample_id, var_id, same) AS equal_len, count(*) OVER (PARTITION BY sample_id, var_id, far, stretch) AS far_len FROM runs),
+good AS (SELECT l.sample_id, l.dataset, l.var_id, l.pos, l.val, split FROM lens l JOIN (SELECT DISTINCT sample_id, split FROM samples) USING (sample_id)
+         WHERE NOT coalesce(val < phys_lo OR val > phys_hi, false) AND NOT (far AND far_len <= 3) AND equal_len < 8),
+sd AS (SELECT sample_id, var_id, stddev_pop(val) AS sd FROM good WHERE split = 'test' GROUP BY ALL),
+per AS (SELECT a.sample_id AS tr, b.sample_id AS te, h, a.var_id, count(*) AS n, count(*) FILTER (abs(a.val - b.val) <= 0.05 * sd) AS ok
+        FROM good b JOIN sd ON sd.sample_id = b.sample_id AND sd.var_id = b.var_id, range(-3, 4) r(h), good a
+        WHERE b.split = 'test' AND a.split = 'train' AND a.dataset = b.dataset AND a.var_id = b.var_id AND a.pos = b.pos + h GROUP BY ALL)
+SELECT DISTINCT least(tr, te) AS sample_a, greatest(tr, te) AS sample_b FROM
+  (SELECT tr, te, h FROM per WHERE n >= 5 GROUP BY ALL HAVING bool_and(ok >= 0.9 * n))""",
     "p7_found": """WITH u AS (SELECT DISTINCT sample_id, dataset, label FROM samples WHERE label IS NOT NULL),
 per AS (SELECT dataset, label, count(*) AS n FROM u GROUP BY ALL), tot AS (SELECT dataset, count(*) AS t FROM u GROUP BY ALL)
 SELECT plan_id, label FROM label_targets l LEFT JOIN per USING (dataset, label) LEFT JOIN tot USING (dataset)
@@ -101,6 +148,10 @@ WHERE coalesce(n, 0) < target_share * sample_frac * coalesce(t, 0) OR coalesce(n
 per AS (SELECT k, sum(n) AS size FROM s GROUP BY k), tot AS (SELECT sum(n) AS t FROM s)
 SELECT mix_id, source FROM mix_targets m LEFT JOIN per ON per.k = lower(trim(m.source)), tot
 WHERE weight * budget_share * t > max_repeats * coalesce(size, 0)""",
-    "p10_found": rf"""WITH c AS (SELECT doc_id, text, nfc_normalize(regexp_replace(regexp_replace(translate(text, '{FOREIGN}' || '{"".join(chr(0xFF01 + k) for k in range(94))}', '{LATIN}' || '{"".join(chr(0x21 + k) for k in range(94)).replace("'", "''")}'), '\p{{Cf}}', '', 'g'), '\p{{Zs}}', ' ', 'g')) AS k FROM documents WHERE text IS NOT NULL)
-SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM c a JOIN c b ON a.k = b.k AND a.doc_id < b.doc_id AND a.text <> b.text WHERE regexp_matches(a.k, '\S')""",
+    "p8_found": rf"""WITH t AS (SELECT doc_id, NULL::BIGINT AS item_id, text FROM documents UNION ALL SELECT NULL, item_id, text FROM eval_items),
+w AS (SELECT doc_id, item_id, regexp_extract_all(lower({_look_sql('text')}), '[\p{{L}}\p{{N}}]+') AS w FROM t WHERE text IS NOT NULL),
+g AS (SELECT doc_id, item_id, unnest([array_to_string(w[i : i + 12], ' ') FOR i IN range(1, len(w) - 11)]) AS g FROM w WHERE len(w) >= 13)
+SELECT DISTINCT a.doc_id, b.item_id FROM g a JOIN g b ON a.g = b.g AND a.doc_id IS NOT NULL AND b.item_id IS NOT NULL""",
+    "p10_found": f"""WITH c AS (SELECT doc_id, text, {_look_sql('text')} AS k FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM c a JOIN c b ON a.k = b.k AND a.doc_id < b.doc_id AND a.text <> b.text WHERE regexp_matches(a.k, '\\S')""",
 }
