@@ -24,19 +24,19 @@ def usable_samples(samples: DataFrame) -> DataFrame:
 
 
 def plan_quotas(samples: DataFrame, targets: DataFrame, slack: float = 0.02) -> DataFrame:
-    """One row per plan and label: usable and available rows, wanted (not rounded), quota, failed and the probability."""
+    """One row per plan and label: usable and available rows, wanted (not rounded), quota (the least whole number that
+    satisfies target and minimum, as far as there are rows) and the probability."""
     per_label = usable_samples(samples).groupBy("dataset", "label").agg(F.count("*").alias("available"))
     per_set = per_label.groupBy("dataset").agg(F.sum("available").alias("usable"))
     plan = targets.join(per_set, "dataset", "left").join(per_label, ["dataset", "label"], "left").fillna(0, ["usable", "available"])
     wanted = F.col("target_share") * F.col("sample_frac") * F.col("usable")
-    quota = F.least("available", F.greatest(F.round("wanted").cast("long"), F.when(F.col("usable") > 0, F.col("min_rows")).otherwise(0).cast("long")))
+    quota = F.least("available", F.greatest(F.ceil("wanted").cast("long"), F.when(F.col("usable") > 0, F.col("min_rows")).otherwise(0).cast("long")))
     chance = F.least(F.lit(1.0), (F.col("quota") * (1 + slack) + 4 * F.sqrt("quota") + 4) / F.greatest("available", F.lit(1)))
     return (
         plan.withColumn("wanted", wanted)
-        .withColumn("failed", (F.col("available") < F.col("wanted")) | (F.col("available") < F.col("min_rows")))
         .withColumn("quota", quota)
         .withColumn("chance", chance)
-        .select("plan_id", "dataset", "label", "label_name", "target_share", "min_rows", "usable", "available", "wanted", "quota", "failed", "chance")
+        .select("plan_id", "dataset", "label", "label_name", "target_share", "min_rows", "usable", "available", "wanted", "quota", "chance")
     )
 
 
@@ -75,5 +75,6 @@ def draw_report(samples: DataFrame, targets: DataFrame, seed: int = 7) -> DataFr
     drawn = draw(samples, targets, seed).groupBy("plan_id", "label").agg(F.count("*").alias("drawn"))
     plan = plan_quotas(samples, targets).join(drawn, ["plan_id", "label"], "left").fillna(0, ["drawn"])
     total = F.sum("drawn").over(Window.partitionBy("plan_id"))
+    failed = (F.col("drawn") < F.col("wanted")) | (F.col("drawn") < F.col("min_rows"))
     gap = F.greatest(F.col("wanted") - F.col("drawn"), F.col("min_rows") - F.col("drawn"), F.lit(0.0))
-    return plan.withColumn("actual_share", F.when(total > 0, F.col("drawn") / total)).withColumn("short", F.when(F.col("failed"), gap).otherwise(0.0)).drop("chance")
+    return plan.withColumn("failed", failed).withColumn("actual_share", F.when(total > 0, F.col("drawn") / total)).withColumn("short", gap).drop("chance")

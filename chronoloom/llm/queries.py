@@ -71,7 +71,7 @@ def _mix(spark: SparkSession, d: str) -> mixing.Mix:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d).report().filter("failed").select("mix_id", "source")
+    return _mix(spark, d).report().filter("shortfall > 0").select("mix_id", "source")
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
