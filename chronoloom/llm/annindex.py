@@ -95,6 +95,17 @@ class Tree:
         self.node_of = np.empty(leaves, int)
         self.node_of[self.leaf[self.leaf >= 0]] = np.flatnonzero(self.leaf >= 0)
         self.radius, self.rows = np.zeros(leaves), np.zeros(leaves, np.int64)
+        self.reach = np.full(len(self.leaf), np.inf)
+
+    def measured(self) -> None:
+        """How far from each node's centre its rows can lie, from the leaves upwards (children have larger numbers)."""
+        self.reach = np.full(len(self.leaf), -np.inf)
+        full = np.flatnonzero(self.rows > 0)
+        self.reach[self.node_of[full]] = self.radius[full]
+        for node in range(len(self.leaf) - 1, -1, -1):
+            kids = self.kids[node][self.kids[node] >= 0]
+            if len(kids):
+                self.reach[node] = (np.abs(self.centre[kids] - self.centre[node]).sum(1) + self.reach[kids]).max()
 
     def put(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Leaf of each row, by always taking the nearest child, and the distance from the leaf's centre."""
@@ -112,19 +123,23 @@ class Tree:
         within the given distance."""
         queue, out = [(0.0, 0)], []
         while queue and len(out) < most:
-            d, node = heapq.heappop(queue)
+            _, node = heapq.heappop(queue)
             n = self.leaf[node]
             if n >= 0:
-                if self.rows[n] and d - self.radius[n] <= within and (skip is None or not skip[n]):
+                if skip is None or not skip[n]:
                     out.append(int(n))
                 continue
-            kids = self.kids[node][self.kids[node] >= 0]
-            for k, e in zip(kids.tolist(), np.abs(self.centre[kids] - q).sum(1).tolist(), strict=True):
-                heapq.heappush(queue, (e, k))
+            kids = self.kids[node]
+            kids = kids[kids >= 0]
+            far = np.abs(self.centre[kids] - q).sum(1)
+            ok = far - self.reach[kids] <= within
+            for item in zip(far[ok].tolist(), kids[ok].tolist(), strict=True):
+                heapq.heappush(queue, item)
         return out
 
     def near_leaves(self, q: np.ndarray, within: np.ndarray) -> np.ndarray:
         """Boolean, rows of q x leaves: those that may hold something within the distance."""
+        # A bound of the leaf's rows, by the triangle inequality.
         return (l1(q, self.centre[self.node_of]) - self.radius[None, :] <= within[:, None]) & (self.rows > 0)[None, :]
 
 
@@ -201,7 +216,9 @@ class Index:
     def _measure(self) -> None:
         """Radius and rows of every leaf, over all rows."""
         for r in self.rows.groupBy("dataset", "leaf").agg(F.max("gap").alias("r"), F.count("*").alias("n")).collect():  # at most the leaves
-            self.trees[r.dataset].radius[r.leaf], self.trees[r.dataset].rows[r.leaf] = r.r * (1 + 1e-12), r.n
+            self.trees[r.dataset].radius[r.leaf], self.trees[r.dataset].rows[r.leaf] = r.r * (1 + 1e-12) + 1e-300, r.n
+        for tree in self.trees.values():
+            tree.measured()
 
     def calibrate(self, recall: float = RECALL, queries: int = CALIBRATE) -> dict[str, int]:
         """Leaves to visit per dataset: the least power of two at which the calibration vectors reach the recall. Their true
