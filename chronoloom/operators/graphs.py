@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.storage import materialize, release
+from chronoloom.storage import materialize_measured, release
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (smallest node reached) for the nodes of the edges (a, b), by alternating large-star and small-star steps: a
     few rounds of shuffles whatever the length of the chains, with partial minima before each shuffle."""
-    e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
+    print_of = {"rows": F.count("*"), "digest": F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))}
+    e, before = materialize_measured(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars", **print_of)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = F.least(F.min("v"), F.first("u"))
         large = both.join(both.groupBy("u").agg(low.alias("m")), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         fresh = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        fresh = materialize(fresh, "stars")
-        same = fresh.join(e, ["u", "v"], "left_anti").isEmpty() and e.join(fresh, ["u", "v"], "left_anti").isEmpty()
+        fresh, after = materialize_measured(fresh, "stars", **print_of)
         release(e)
         e = fresh
-        if same:
+        if after == before:
             break
+        before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()

@@ -14,43 +14,53 @@ from pyspark.sql import DataFrame
 
 from chronoloom.operators.series import by_dataset, packed, ragged, unpacked_symmetric, window_covariances
 
-STILL = 1e-8
+#: Neighbours that moved less than this leave a window's solution alone; the solver's own tolerance is coarser.
+STILL = 1e-5
 
 
-def prox_logdet(s: np.ndarray, a: np.ndarray, eta: float) -> np.ndarray:
+def prox_logdet(s: np.ndarray, a: np.ndarray, eta: np.ndarray | float) -> np.ndarray:
     """argmin -logdet X + tr(S X) + eta/2 |X - A|^2 for stacked matrices."""
     d, q = np.linalg.eigh(eta * a - s)
-    return (q * ((d + np.sqrt(d * d + 4 * eta)) / (2 * eta))[..., None, :]) @ q.swapaxes(-1, -2)
+    eta = np.asarray(eta)[..., 0] if np.ndim(eta) else eta
+    # (d + sqrt(d^2 + 4 eta)) / (2 eta), without cancellation where d is negative.
+    root = np.sqrt(d * d + 4 * eta)
+    value = np.where(d > 0, (d + root) / (2 * eta), 2 / np.maximum(root - d, 1e-300))
+    return (q * value[..., None, :]) @ q.swapaxes(-1, -2)
 
 
-def admm(s: np.ndarray, b: np.ndarray, lamb: float, beta: float, most: int = 1000, rho: float = 1.0, tol: float = 1e-6, rho_update=None) -> np.ndarray:
-    """Packed solutions for stacked covariances s (n x d x d) and packed neighbour terms b (n x p)."""
+def balanced(rho: np.ndarray, primal: np.ndarray, _: np.ndarray, dual: np.ndarray, __: np.ndarray) -> np.ndarray:
+    """Step sizes that keep both residuals within a factor of 5 of each other."""
+    return rho * np.where(primal > 5 * dual, 2.0, np.where(dual > 5 * primal, 0.5, 1.0))
+
+
+def admm(s: np.ndarray, b: np.ndarray, lamb: float, beta: float, most: int = 1000, tol: float = 1e-6, rho_update=balanced) -> np.ndarray:
+    """Packed solutions for stacked covariances s (n x d x d) and packed neighbour terms b (n x p). Each problem has its own step
+    size, from 1; rho_update(rho, primal, its limit, dual, its limit) gives the next ones (None: they stay)."""
     n, d = len(s), s.shape[-1]
     p = b.shape[1]
     out = np.zeros((n, p))
-    live, z, u = np.arange(n), np.zeros((n, p)), np.zeros((n, p))
-    x = z
+    live, z, u, rho = np.arange(n), np.zeros((n, p)), np.zeros((n, p)), np.ones(n)
+    norm = lambda m: np.sqrt((m * m).sum(1))
     for turn in range(most):
-        x = packed(prox_logdet(s[live], unpacked_symmetric(z - u, d), rho))
-        v = rho * (x + u) - lamb * b[live]
-        old, z = z, np.sign(v) * np.maximum(np.abs(v) - beta, 0) / (rho + 6 * lamb)
+        x = packed(prox_logdet(s[live], unpacked_symmetric(z - u, d), rho[:, None, None]))
+        r = rho[:, None]
+        v = r * (x + u) - lamb * b[live]
+        old, z = z, np.sign(v) * np.maximum(np.abs(v) - beta, 0) / (r + 6 * lamb)
         u = u + x - z
         out[live] = x
         if turn == 0:
             continue
-        norm = lambda m: np.sqrt((m * m).sum(1))
-        primal, dual = norm(x - z), norm(rho * (z - old))
+        primal, dual = norm(x - z), rho * norm(z - old)
         limit = np.sqrt(p) * tol + 1e-4
-        most_x, most_u = limit + tol * np.maximum(norm(x), norm(z)), limit + tol * norm(rho * u)
-        done = (primal <= most_x) & (dual <= most_u)
-        if done.any():
-            keep = ~done
-            live, z, u, x = live[keep], z[keep], u[keep], x[keep]
+        most_x, most_u = limit + tol * np.maximum(norm(x), norm(z)), limit + tol * rho * norm(u)
+        keep = ~((primal <= most_x) & (dual <= most_u))
+        if rho_update is not None and turn % 4 == 0 and turn <= most // 3:  # then fixed, so that it converges
+            fresh = rho_update(rho, primal, most_x, dual, most_u)
+            u, rho = u * (rho / fresh)[:, None], fresh
+        if not keep.all():
+            live, z, u, rho = live[keep], z[keep], u[keep], rho[keep]
             if not len(live):
                 break
-        if rho_update is not None:
-            fresh = rho_update(rho, primal, most_x, dual, most_u)
-            u, rho = u * (rho / fresh), fresh
     return out
 
 

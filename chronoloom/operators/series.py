@@ -163,12 +163,13 @@ def window_covariance_rows(rows: DataFrame, channels: DataFrame, hyper: DataFram
     return by_dataset(rows, channels, hyper.select("dataset", "width", "stride"), kernel, "sample_id long, win_id int, cov array<double>")
 
 
-def encoded(df: DataFrame, column: str, out: str, trim: bool = True) -> DataFrame:
-    """df with the alphabetical number, from 0, of the column's value. Only the distinct values are ordered."""
+def encoded(df: DataFrame, column: str, out: str, within: tuple[str, ...] = (), trim: bool = True) -> DataFrame:
+    """df with the alphabetical number, from 0, of the column's value (within a group of columns); null stays null. Only the
+    distinct values are ordered."""
     key = F.lower(F.trim(column)) if trim else F.col(column)
-    words = df.select(key.alias("_word")).filter("_word is not null").distinct()
-    codes = words.withColumn(out, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_word")) - 1).cast("int"))
-    return df.withColumn("_word", key).join(codes, "_word", "left").drop("_word")
+    words = df.select(*within, key.alias("_word")).filter("_word is not null").distinct()
+    codes = words.withColumn(out, (F.row_number().over(Window.partitionBy(*(within or [F.lit(0)])).orderBy("_word")) - 1).cast("int"))
+    return df.withColumn("_word", key).join(codes, [*within, "_word"], "left").drop("_word")
 
 
 def spread_hash(c: Column) -> Column:

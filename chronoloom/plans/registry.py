@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronoloom.plans import cleaning
+from chronoloom.plans import cleaning, clustering, series
 
-MODULES = [cleaning]
+MODULES = [clustering, series, cleaning]
 
 
 def queries() -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,15 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return back
 
 
+def materialize_measured(df: DataFrame, label: str, **figures: Column) -> tuple[DataFrame, dict]:
+    """The same, with aggregates over the rows, taken while they are written: an iteration needs no job of its own to see whether it
+    is done. Aggregates: null over no rows, unless they are counts."""
+    watch = Observation()
+    seen = df.observe(watch, *(c.alias(k) for k, c in figures.items()))
+    back = materialize(seen, label)
+    return back, watch.get
+
+
 def release(df: DataFrame) -> None:
     """Delete what materialize() wrote for df, once nothing reads it any more."""
     path = getattr(df, "_chronoloom_path", None)
