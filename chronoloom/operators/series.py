@@ -18,7 +18,7 @@ from chronoloom.operators.spikes import channel_limits, channels_of, chunks, num
 
 def first_rows(samples: DataFrame, *columns: str) -> DataFrame:
     """The earliest loaded row of each sample_id (repeated rows are the same but for loaded_at)."""
-    return samples.filter("sample_id is not null").groupBy("sample_id").agg(F.min_by(F.struct(*columns), "loaded_at").alias("r")).select("sample_id", "r.*")
+    return samples.filter("sample_id is not null").groupBy("sample_id").agg(F.min_by(F.struct(*columns), F.struct("loaded_at")).alias("r")).select("sample_id", "r.*")
 
 
 def prepared(samples: DataFrame, channels: DataFrame) -> DataFrame:

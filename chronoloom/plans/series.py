@@ -73,7 +73,7 @@ def scalar_precision(spark: SparkSession, d: str) -> DataFrame:
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "ctrans").filter("sample_id is not null and c_feat is not null")
-    once = rows.groupBy("sample_id").agg(F.min_by(F.struct("dataset", "c_feat"), "computed_at").alias("r"))
+    once = rows.groupBy("sample_id").agg(F.min_by(F.struct("dataset", "c_feat"), F.struct("computed_at")).alias("r"))
     return once.select("sample_id", "r.dataset", F.transform("r.c_feat", lambda x: x.cast("double")).alias("feature"))
 
 
