@@ -39,7 +39,7 @@ def usable_vectors(ctrans: DataFrame, hyper: DataFrame) -> DataFrame:
     ok = ~F.exists("c_trans", lambda x: x.isNull() | F.isnan(x)) & (F.size("c_trans") == F.col("emb_len"))
     good = rows.join(par, "dataset").filter(ok)
     cols = ["dataset", "k_nearest", "k_dis_high", "eps", "min_samples", F.col("c_trans").alias("vec")]
-    return good.groupBy("sample_id").agg(F.max_by(F.struct(*cols), F.col("computed_at")).alias("r")).select("sample_id", "r.*")
+    return good.groupBy("sample_id").agg(F.max_by(F.struct(*cols), F.struct("computed_at")).alias("r")).select("sample_id", "r.*")
 
 
 def l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
