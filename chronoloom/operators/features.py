@@ -92,7 +92,8 @@ def project(features: DataFrame, components: dict[str, np.ndarray]) -> DataFrame
     return features.select("sample_id", "dataset", "feature").mapInPandas(kernel, "sample_id long, dataset string, emb array<double>")
 
 
-def embed(features: DataFrame, hyper: DataFrame) -> DataFrame:
+def embed(features: DataFrame, hyper: DataFrame, components: int | None = None) -> DataFrame:
+    """sample_id, dataset, emb. Energy in per cent from hyper; components: keep at most so many, whatever the energy."""
     percent = {r[0]: float(r[1]) for r in hyper.select("dataset", "cumulativeenergysaving").collect()}  # one row per dataset
     scaled = normalised(features)
-    return project(scaled, projections(scaled, percent))
+    return project(scaled, {k: v[:, :components] for k, v in projections(scaled, percent).items()})

@@ -233,8 +233,23 @@ def _errors(x: np.ndarray, bases: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.abs(np.einsum("de,nel->ndl", b @ b.T, x) - x).sum((1, 2)) for b in bases], axis=1)
 
 
+def common_component_predict(rows: DataFrame, bases: list[np.ndarray], depth: int) -> DataFrame:
+    """id, cluster: the basis that reconstructs each record best."""
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"id": f.id, "cluster": _errors(series_rows(f.vec, depth), bases).argmin(1)})
+
+    return rows.select("id", "vec").mapInPandas(place, "id long, cluster long")
+
+
 def common_component_clusters(rows: DataFrame, k: int, depth: int, rounds: int = 30, tol: float = 1e-8) -> DataFrame:
-    """id, cluster: each cluster has a basis from its members' summed covariances, and takes the records it reconstructs best. The
+    """id, cluster of common_component_fit."""
+    return common_component_fit(rows, k, depth, rounds, tol)[0]
+
+
+def common_component_fit(rows: DataFrame, k: int, depth: int, rounds: int = 30, tol: float = 1e-8) -> tuple[DataFrame, list[np.ndarray]]:
+    """(id, cluster), bases: each cluster has a basis from its members' summed covariances, and takes the records it reconstructs best. The
     first clusters are contiguous ranges of id, cut by rank."""
     rows = materialize(rows.select("id", "vec"), "components")
     cuts = rows.approxQuantile("id", [i / k for i in range(1, k)], 0.0) if k > 1 else []
@@ -277,7 +292,7 @@ def common_component_clusters(rows: DataFrame, k: int, depth: int, rounds: int =
         if before is not None and abs(error - before) < tol * max(1.0, abs(before)):
             break
         before = error
-    return label.select("id", "cluster")
+    return label.select("id", "cluster"), bases
 
 
 # -- covariance components --------------------------------------------------------------------------------------------------
@@ -292,6 +307,37 @@ def covariance_features(cube: np.ndarray, width: int | None = None, stride: int
     return c.reshape(len(c), -1)
 
 
+def component_sequences(rows: DataFrame, depth: int, width: int, stride: int, percent: float = 95.0) -> tuple[DataFrame, int]:
+    """(id, vec), k: each record's windows as packed covariances, projected to k components of all windows, channel after channel of
+    the projected sequence; a warping distance of these compares records whose windows are shifted against each other."""
+    from chronoloom.operators.features import energy_rank, fixed_sign
+    from chronoloom.operators.series import window_covariances
+
+    def windows(f: pd.DataFrame) -> np.ndarray:
+        return packed(window_covariances(series_rows(f.vec, depth), width, stride))
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            x = windows(f).reshape(-1, depth * (depth + 1) // 2)
+            c = np.concatenate([(x.T @ x).ravel(), x.sum(0), [len(x)]])
+            yield pd.DataFrame({"k": np.arange(len(c)), "v": c})
+
+    p = depth * (depth + 1) // 2
+    got = rows.select("vec").mapInPandas(partial, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k").v.to_numpy()  # channels^4
+    if not len(got):
+        return rows.select("id", "vec"), 1
+    n, mean = got[-1], got[p * p : p * p + p] / got[-1]
+    value, vector = np.linalg.eigh(got[: p * p].reshape(p, p) / n - np.outer(mean, mean))
+    basis = fixed_sign(vector[:, ::-1][:, : energy_rank(np.maximum(value[::-1], 0), percent)])
+
+    def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            y = (windows(f) @ basis).swapaxes(1, 2)
+            yield pd.DataFrame({"id": f.id, "vec": list(y.reshape(len(y), -1))})
+
+    return rows.select("id", "vec").mapInPandas(project, "id long, vec array<double>"), basis.shape[1]
+
+
 # -- hidden Markov models ---------------------------------------------------------------------------------------------------
 
 

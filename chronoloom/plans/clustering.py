@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import density, distances, features, scores, shapes
+from chronoloom.operators import density, distances, features, maps, scores, shapes
 from chronoloom.storage import materialize, table
 
 EPS, MIN_SAMPLES, K, DC = 7.3, 3, 5, 8.0
@@ -200,6 +200,28 @@ def cspca_windows(spark: SparkSession, d: str) -> DataFrame:
     return _cspca(spark, d, 8, 4)
 
 
+def cspca_sequences(spark: SparkSession, d: str) -> DataFrame:
+    seq, k = shapes.component_sequences(_points(spark, d), DEPTH, 8, 4)
+    seq = materialize(seq, "sequences")
+    return shapes.dtw_table(_asked(seq), seq, k)
+
+
+def mc2pca_predict(spark: SparkSession, d: str) -> DataFrame:
+    """Bases fitted without the rows whose id is divisible by 20, applied to these."""
+    p = _points(spark, d)
+    return shapes.common_component_predict(_asked(p), shapes.common_component_fit(p.filter("id % 20 <> 0"), 6, DEPTH)[1], DEPTH)
+
+
+def fcfw_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Fuzzy clusters of the memberships of fcfw."""
+    u = fcfw(spark, d).groupBy(F.col("i").alias("id")).agg(F.array_sort(F.collect_list(F.struct("j", "u"))).alias("m"))
+    return shapes.fuzzy_c_means(materialize(u.select("id", F.col("m.u").alias("vec")), "memberships"), 3)[0]
+
+
+def tsne_map(spark: SparkSession, d: str) -> DataFrame:
+    return maps.tsne(_points(spark, d))
+
+
 def hmm_distance(spark: SparkSession, d: str) -> DataFrame:
     """Likelihood distances between the rows whose id is divisible by 20, each with its own model."""
     p = _asked(_points(spark, d).select("id", "vec"))
@@ -210,7 +232,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pairwise_l1, pairwise_l2, range_counts, kdist_curve, percentile_eps, nn_predict, dbscan_labels, dbscan_predict, contingency, cluster_scores, cluster_accuracy, dbscan_quality,
-        silhouette, bic, dpc_rho, dpc_delta, dpc_centers, dpc_assign, dpc_halo, dpc_cutoff, md_cluster, kmeans, kshape, fcm, mc2pca, sbd, dtw, range_weights, memberships, fcfw, cspca_whole, cspca_windows, hmm_distance,
+        silhouette, bic, dpc_rho, dpc_delta, dpc_centers, dpc_assign, dpc_halo, dpc_cutoff, md_cluster, kmeans, kshape, fcm, mc2pca, sbd, dtw, range_weights, memberships, fcfw, cspca_whole, cspca_windows, cspca_sequences, mc2pca_predict, fcfw_clusters, tsne_map, hmm_distance,
     )
 }
 

@@ -229,3 +229,40 @@ def test_tuning(spark):
     assert grid.count() == 567 and grid.filter("width < stride").count() == 0
     t = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, 0.9), (4, None)], "config_id long, ri double")
     assert tuple(tuning.best_configs(t, "ri").first()) == (2, 0.9) and tuple(tuning.best_configs(t, "ri", largest=False).first()) == (1, 0.5)
+
+
+def test_maps(spark):
+    from chronoloom.operators import maps
+
+    x = np.concatenate([np.random.default_rng(1).normal(c, 0.1, (20, 3)) for c in (0, 10)])
+    y = maps.tsne(frame(spark, x), steps=200).toPandas().sort_values("id")[["x", "y"]].to_numpy()
+    assert y.min() >= 0 and y.max() <= 1
+    d = np.linalg.norm(y[:, None] - y[None], axis=2)
+    assert d[:20, :20].mean() < d[:20, 20:].mean()
+    assert maps.tsne(frame(spark, x).filter("false")).count() == 0
+    with pytest.raises(ValueError, match="more than"):
+        maps.tsne(spark.range(maps.ROWS + 1).selectExpr("id", "array(double(id)) as vec"))
+
+
+def test_component_sequences(spark):
+    df = frame(spark, waves())
+    seq, k = shapes.component_sequences(df, 2, 8, 4)
+    got = seq.toPandas()
+    assert len(got) == 24 and {len(v) for v in got.vec} == {5 * k}
+    bases = shapes.common_component_fit(df, 2, 2)[1]
+    assert len(bases) == 2 and shapes.common_component_predict(df, bases, 2).count() == 24
+
+
+def test_whole_path(spark):
+    from chronoloom.operators import series, tuning
+    from chronoloom.plans.pipelines import compared
+    from chronoloom.sources.synthetic import as_samples, flat_channels, named_set
+
+    made = named_set(spark, "Fake_60_24_3").selectExpr("*", "if(sample_id % 2 = 0, 'train', 'test') as split")
+    ch = flat_channels(spark, "fake", 3, 60)
+    rows = series.prepared(as_samples(made, "fake"), ch)
+    hyper = spark.createDataFrame([("fake", 20, 20, 5e-3, 5e-3, 60, 300, 80, 3, 0.5, 0.5, 1e-12, 1e12)], "dataset string, width int, stride int, lamb double, beta double, maxiters int, maxiters_admm int, cumulativeenergysaving int, k_nearest int, diff_threshold double, slope_threshold double, k_dis_low double, k_dis_high double")
+    got = {r.method: r for r in compared(rows, ch, hyper).collect()}
+    assert set(got) == {"several radii", "one radius", "k-means"} and all(r.n == 12 and 0 <= r.rand_index <= 1 for r in got.values())
+    trials = [r for df in tuning.trial(rows, ch, hyper) for r in df.collect()]
+    assert {r.method for r in trials} == {"k_means", "dbscan"} and all(-1 <= r.silhouette <= 1 for r in trials)
