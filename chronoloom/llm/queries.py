@@ -78,6 +78,14 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).report()
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def p9_tokenized(spark: SparkSession, d: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The report with sizes in tokens of a public tokenizer."""
+    return mixing.Mix(mixing.sizes_by_vocabulary(table(spark, d, "documents"), vocabulary), table(spark, d, "mix_targets")).report()
+
+
 def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).records()
 
@@ -91,7 +99,7 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return looks.canonical_texts(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "canonical", F.coalesce(F.col("canonical") != F.col("text"), F.lit(False)).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_recall, p3_found, p3_described, p5_found, p5_report, p7_found, p7_report, p7_drawn, p8_found, p8_leaks, p9_found, p9_report, p9_mixed, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_recall, p3_found, p3_described, p5_found, p5_report, p7_found, p7_report, p7_drawn, p8_found, p8_leaks, p9_found, p9_report, p9_tokenized, p9_mixed, p10_found, p10_canonical)}
 
 USABLE_SQL = """
 usable AS (SELECT DISTINCT ON (c.sample_id) c.sample_id, c.dataset, c.c_trans AS v, h.k_nearest, h.k_dis_high, h.eps, h.min_samples

@@ -1,3 +1,4 @@
+import os
 import re
 import unicodedata
 
@@ -87,6 +88,16 @@ def test_mix_records(mix):
     assert rows.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
 
 
+def test_sizes_by_vocabulary(spark):
+    from chronoloom.llm.queries import VOCABULARY
+
+    if not os.path.exists(VOCABULARY):
+        pytest.skip("no vocabulary")
+    df = spark.createDataFrame([(1, "hello world", "A ", ""), (2, None, "b", ""), (3, "", "b", ""), (4, "x", None, ""), (5, "<|endoftext|>", "b", "")], DOCS)
+    got = {r.doc_id: (r.source, r.n_tok) for r in mixing.sizes_by_vocabulary(df, VOCABULARY).collect()}
+    assert got[1] == ("a", 2) and got[2] == ("b", 0) and got[3] == ("b", 0) and 4 not in got and got[5][1] > 1
+
+
 def test_permutations():
     for n in (1, 2, 3, 10, 257, 1000):
         i = np.arange(n)
