@@ -19,12 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.operators.spikes import channel_limits, chunks, clean_matrix, numeric_list, pad, per_channel
 
 LEVELS, SEED, COVER, SHIFT = 64, 8, 8, 3
+MATCHES = 4_000_000
 SHARD, BLOCK = 8_192, 16_384
 AGREE, TOLERANCE, LEAST = 0.9, 0.05, 5
 
@@ -81,8 +83,8 @@ class TextIndex:
         """Suffixes before the i-th of those that begin with symbol c, counted over all suffixes."""
         return np.searchsorted(self.places, c * (self.n + 1) + i)
 
-    def find(self, text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences of text[e - length + 1 .. e] for each end e: (number of the end, position in the indexed text)."""
+    def ranges(self, text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes (from, to) that begin with text[e - length + 1 .. e], for each end e that has any: (number of the end, from, to)."""
         who = np.flatnonzero(ends >= length - 1)
         lo, hi = np.zeros(len(who), np.int64), np.full(len(who), self.n, np.int64)
         for back in range(length):
@@ -92,9 +94,13 @@ class TextIndex:
             lo, hi = self.extend(c, lo), self.extend(c, hi)
             ok = hi > lo
             who, lo, hi = who[ok], lo[ok], hi[ok]
+        return who, lo, hi
+
+    def places_of(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the range, position in the indexed text) of all suffixes of the ranges."""
         size = hi - lo
         first = np.repeat(lo - (np.cumsum(size) - size), size)
-        return np.repeat(who, size), self.suffixes[np.arange(size.sum()) + first]
+        return np.repeat(np.arange(len(lo)), size), self.suffixes[np.arange(size.sum()) + first]
 
 
 def _cube(t: pa.Table, name: str, depth: int, width: int, fill: float) -> np.ndarray:
@@ -114,11 +120,12 @@ def _cube(t: pa.Table, name: str, depth: int, width: int, fill: float) -> np.nda
     return out
 
 
-def seeds(train: np.ndarray, test: np.ndarray, every: int = 2) -> np.ndarray:
-    """Candidate pairs: rows (train, test, misalignment) whose merged spans cover at least COVER cells."""
-    pairs: list[np.ndarray] = []
+def seeds(train: np.ndarray, test: np.ndarray, every: int = 2, most: int = MATCHES) -> Iterator[np.ndarray]:
+    """Candidate pairs: rows (train, test, misalignment) whose merged spans cover at least COVER cells. All ranges of suffixes are found
+    first; they are opened for so many training records at a time as have about `most` matches together."""
     nt, depth, width = train.shape
-    gap = width + 1
+    gap, k = width + 1, 2 * SHIFT + 1
+    found, total = [], np.zeros(nt, np.int64)
     for v in range(depth):
         text = np.zeros((len(test), gap), np.int8)
         text[:, :width] = test[:, v]
@@ -128,23 +135,30 @@ def seeds(train: np.ndarray, test: np.ndarray, every: int = 2) -> np.ndarray:
         flat = query.ravel()
         ends = np.flatnonzero(flat > 0)
         ends = ends[(ends % gap) % every == (SEED - 1) % every]
-        who, at = index.find(flat, ends, SEED)
-        end, start = ends[who], at.astype(np.int64)
-        shift = start % gap - (end % gap - SEED + 1)
-        ok = np.abs(shift) <= SHIFT
-        pair = ((end // gap) * len(test) + start // gap) * (2 * SHIFT + 1) + shift + SHIFT
-        pairs.append(np.stack([pair[ok], np.full(ok.sum(), v), (end % gap)[ok]], axis=1))
-    found = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
-    found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
-    if not len(found):
-        return found
-    same = (found[1:, 0] == found[:-1, 0]) & (found[1:, 1] == found[:-1, 1])
-    grown = np.concatenate([[SEED], np.where(same, np.minimum(found[1:, 2] - found[:-1, 2], SEED), SEED)])
-    key, where = np.unique(found[:, 0], return_index=True)
-    cover = np.add.reduceat(grown, where)
-    key = key[cover >= COVER]
-    k = 2 * SHIFT + 1
-    return np.stack([key // k // len(test), key // k % len(test), key % k - SHIFT], axis=1)
+        who, lo, hi = index.ranges(flat, ends, SEED)
+        found.append((index, ends[who], lo, hi))
+        total += np.bincount(ends[who] // gap, hi - lo, nt).astype(np.int64)
+    part = np.cumsum(total) // most
+    for p in np.unique(part):
+        first, last = np.searchsorted(part, p), np.searchsorted(part, p, side="right")
+        pairs = []
+        for v, (index, ends, lo, hi) in enumerate(found):
+            a, b = np.searchsorted(ends, first * gap), np.searchsorted(ends, last * gap)
+            who, at = index.places_of(lo[a:b], hi[a:b])
+            end, start = ends[a:b][who], at.astype(np.int64)
+            shift = start % gap - (end % gap - SEED + 1)
+            ok = np.abs(shift) <= SHIFT
+            pair = ((end // gap) * len(test) + start // gap) * k + shift + SHIFT
+            pairs.append(np.stack([pair[ok], (v * gap + end % gap)[ok]], axis=1))
+        got = np.concatenate(pairs)
+        if not len(got):
+            continue
+        got = got[np.lexsort((got[:, 1], got[:, 0]))]
+        same = (got[1:, 0] == got[:-1, 0]) & (got[1:, 1] // gap == got[:-1, 1] // gap)
+        grown = np.concatenate([[SEED], np.where(same, np.minimum(got[1:, 1] - got[:-1, 1], SEED), SEED)])
+        key, where = np.unique(got[:, 0], return_index=True)
+        key = key[np.add.reduceat(grown, where) >= COVER]
+        yield np.stack([key // k // len(test), key // k % len(test), key % k - SHIFT], axis=1)
 
 
 def agreeing(a: np.ndarray, b: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -175,6 +189,22 @@ def agreeing(a: np.ndarray, b: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Copies:
+    """Rows in classes of one digest: first has a row of each class."""
+
+    def __init__(self, rows: np.ndarray, digest: np.ndarray) -> None:
+        _, at, self.of = np.unique(digest[rows], return_index=True, return_inverse=True)
+        self.first = rows[at]
+        self.rows = rows[np.argsort(self.of, kind="stable")]
+        self.bounds = np.searchsorted(np.sort(self.of), np.arange(len(at) + 1))
+
+    def pairs(self, other: "_Copies", classes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All rows of the classes paired, class pair by class pair."""
+        for i, j in classes:
+            x, y = self.rows[self.bounds[i] : self.bounds[i + 1]], other.rows[other.bounds[j] : other.bounds[j + 1]]
+            yield np.repeat(x, len(y)), np.tile(y, len(x))
+
+
 def _meet(t: pa.Table) -> pa.Table:
     """Pairs of one block of training records and one shard of evaluation records."""
     ids = t.column("sample_id").to_numpy()
@@ -184,16 +214,17 @@ def _meet(t: pa.Table) -> pa.Table:
     ids, is_test = t.column("sample_id").to_numpy(), np.array(t.column("split").to_pylist()) == "test"
     lens, own = numeric_list(t.column("cells").combine_chunks())[0], t.column("width").to_numpy()
     width, depth = int(own.max(initial=0)), int((lens // np.maximum(own, 1)).max(initial=0))
-    a, b = np.flatnonzero(~is_test), np.flatnonzero(is_test)
-    rows = np.zeros((0, 2), np.int64)
-    if len(a) and len(b) and width and depth:
-        levels = _cube(t, "levels", depth, width, 0)
-        pairs = seeds(levels[a], levels[b])
-        del levels
+    rows = [np.zeros((0, 2), np.int64)]
+    if width and depth and is_test.any() and not is_test.all():
         cells = _cube(t, "cells", depth, width, np.nan)
-        same = pairs[agreeing(cells[a], cells[b], pairs)] if len(pairs) else pairs
-        rows = np.stack([ids[a][same[:, 0]], ids[b][same[:, 1]]], axis=1) if len(same) else rows
-        rows = np.unique(rows, axis=0)
+        # Copies are compared once: only the first of equal records is searched, its pairs are opened to all of them at the end.
+        digest = np.array([xxhash.xxh3_64_intdigest(np.nan_to_num(c, nan=1e38).tobytes()) for c in cells], np.uint64)
+        a, b = (_Copies(np.flatnonzero(side), digest) for side in (~is_test, is_test))
+        levels = _cube(t, "levels", depth, width, 0)
+        for pairs in seeds(levels[a.first], levels[b.first]):
+            same = np.unique(pairs[agreeing(cells[a.first], cells[b.first], pairs)][:, :2], axis=0)
+            rows += [np.stack([ids[x], ids[y]], axis=1) for x, y in a.pairs(b, same)]
+    rows = np.unique(np.concatenate(rows), axis=0)
     return pa.table({"train_id": pa.array(rows[:, 0], pa.int64()), "test_id": pa.array(rows[:, 1], pa.int64())})
 
 
