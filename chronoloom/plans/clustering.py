@@ -250,6 +250,12 @@ labels AS (SELECT id, coalesce(n.c, b.c, -1) AS cluster, n.c IS NOT NULL AS is_c
 RHO = f"{E}, rho AS MATERIALIZED (SELECT i AS id, sum(exp(-(d / {DC}) * (d / {DC}))) AS rho FROM dist GROUP BY i)"
 DELTA = f"""{RHO}, up AS (SELECT a.id, min(d.d) AS delta FROM rho a JOIN dist d ON d.i = a.id JOIN rho b ON b.id = d.j WHERE b.rho > a.rho OR (b.rho = a.rho AND b.id > a.id) GROUP BY a.id),
 delta AS (SELECT rho.id, rho.rho, coalesce(delta, (SELECT max(delta) FROM up)) AS delta FROM rho LEFT JOIN up USING (id))"""
+ASSIGNED = f"""{DELTA},
+centers AS (SELECT id FROM delta ORDER BY rho * delta DESC, id LIMIT 6),
+near AS (SELECT a.id, arg_min(b.id, {{'d': d.d, 'j': b.id}}) AS link FROM rho a JOIN dist d ON d.i = a.id JOIN rho b ON b.id = d.j WHERE b.rho > a.rho OR (b.rho = a.rho AND b.id > a.id) GROUP BY a.id),
+link AS MATERIALIZED (SELECT rho.id, CASE WHEN rho.id IN (SELECT id FROM centers) THEN rho.id ELSE coalesce(near.link, rho.id) END AS link FROM rho LEFT JOIN near USING (id)),
+walk AS (SELECT id, id AS at FROM rho UNION ALL SELECT w.id, l.link FROM walk w JOIN link l ON l.id = w.at WHERE l.link <> w.at),
+assigned AS (SELECT walk.id, walk.at AS center FROM walk JOIN centers ON centers.id = walk.at)"""
 TABLE = "t AS (SELECT l_linenumber AS cluster, l_returnflag AS label, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL)"
 
 ORACLE = {
@@ -279,6 +285,10 @@ SELECT i AS id, own::BIGINT AS cluster, round(coalesce((b - a) / greatest(a, b),
     "dpc_rho": f"WITH {RHO} SELECT id, round(rho, 6) + 0.0 AS rho FROM rho",
     "dpc_delta": f"WITH {DELTA} SELECT id, round(delta, 6) + 0.0 AS delta FROM delta",
     "dpc_centers": f"WITH {DELTA} SELECT id, round(rho * delta, 6) + 0.0 AS gamma FROM delta ORDER BY rho * delta DESC, id LIMIT 6",
+    "dpc_assign": f"WITH RECURSIVE {ASSIGNED} SELECT id, center FROM assigned",
+    "dpc_halo": f"""WITH RECURSIVE {ASSIGNED}, border AS (SELECT DISTINCT a.id, a.center FROM assigned a JOIN dist d ON d.i = a.id JOIN assigned b ON b.id = d.j WHERE d.d < {DC} AND a.center <> b.center),
+edge AS (SELECT center, max(rho) AS edge FROM border JOIN rho USING (id) GROUP BY center)
+SELECT a.id, a.center, edge IS NULL OR rho >= edge AS is_core FROM assigned a JOIN rho USING (id) LEFT JOIN edge USING (center)""",
     "sbd": f"""WITH {SOME.format(n=20).split('dist AS')[0].rstrip().rstrip(',')},
 v AS (SELECT id, u.k AS var_id, v[u.k * 16 + 1 : u.k * 16 + 16] AS x FROM e, (SELECT unnest([0, 1, 2, 3]) AS k) u),
 c AS (SELECT a.id AS i, b.id AS j, a.var_id, max(list_sum(list_transform(list_zip(a.x[s + 1 : 16], b.x[1 : 16 - s]), lambda z: z[1] * z[2]))) AS c,
