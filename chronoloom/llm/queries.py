@@ -152,6 +152,12 @@ SELECT DISTINCT least(tr, te) AS sample_a, greatest(tr, te) AS sample_b FROM
 per AS (SELECT dataset, label, count(*) AS n FROM u GROUP BY ALL), tot AS (SELECT dataset, count(*) AS t FROM u GROUP BY ALL)
 SELECT plan_id, label FROM label_targets l LEFT JOIN per USING (dataset, label) LEFT JOIN tot USING (dataset)
 WHERE coalesce(n, 0) < target_share * sample_frac * coalesce(t, 0) OR coalesce(n, 0) < min_rows""",
+    "p7_report": """WITH u AS (SELECT DISTINCT sample_id, dataset, label FROM samples WHERE label IS NOT NULL),
+per AS (SELECT dataset, label, count(*) AS n FROM u GROUP BY ALL), tot AS (SELECT dataset, count(*) AS t FROM u GROUP BY ALL),
+q AS (SELECT plan_id, label, min_rows, target_share * sample_frac * coalesce(t, 0) AS wanted, coalesce(t, 0) AS usable, coalesce(n, 0) AS available FROM label_targets LEFT JOIN per USING (dataset, label) LEFT JOIN tot USING (dataset)),
+d AS (SELECT *, least(available, greatest(ceil(wanted)::BIGINT, CASE WHEN usable > 0 THEN min_rows ELSE 0 END))::BIGINT AS quota FROM q)
+SELECT plan_id, label, wanted, usable, available, quota, quota AS drawn, CASE WHEN sum(quota) OVER (PARTITION BY plan_id) > 0 THEN quota / sum(quota) OVER (PARTITION BY plan_id) END AS actual_share,
+greatest(wanted - quota, min_rows - quota, 0.0)::DOUBLE AS short, quota < wanted OR quota < min_rows AS failed FROM d""",
     "p9_found": r"""WITH s AS (SELECT lower(trim(source)) AS k, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t\n\v\f\r\x1c-\x20\x{85}\p{Z}]+')) AS n FROM documents WHERE source IS NOT NULL),
 per AS (SELECT k, sum(n) AS size FROM s GROUP BY k), tot AS (SELECT sum(n) AS t FROM s)
 SELECT mix_id, source FROM mix_targets m LEFT JOIN per ON per.k = lower(trim(m.source)), tot
