@@ -154,8 +154,8 @@ class Index:
         self.spark = vectors.sparkSession
         self.vectors = materialize(vectors, "vectors")
         params = [c for c in self.vectors.columns if c not in ("sample_id", "vec", "dataset")]
-        classes = self.vectors.groupBy("dataset", "vec").agg(F.min("sample_id").alias("cid"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in params))
-        counts = {r[0]: r[1] for r in self.vectors.groupBy("dataset").count().collect()}  # one row per dataset
+        classes = materialize(self.vectors.groupBy("dataset", "vec").agg(F.min("sample_id").alias("cid"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in params)), "classes")
+        counts = {r[0]: r[1] for r in classes.groupBy("dataset").count().collect()}  # one row per dataset: its classes, not its copies
         self.trees = self._fit(classes, counts, fit_rows)
         self.params = params
         self.rows = materialize(self._put(classes), "leaves")
@@ -176,6 +176,8 @@ class Index:
             share = F.when(F.col("dataset") == name, F.lit(min(1.0, 0.97 * fit_rows / n))).otherwise(share)
         some = classes.filter(F.pmod(F.xxhash64("cid"), F.lit(1 << 40)) < share * float(1 << 40)).select("dataset", "cid", "vec")
         found = {r.dataset: pickle.loads(r.tree) for r in some.groupBy("dataset").applyInPandas(fit, "dataset string, tree binary").collect()}  # noqa: S301
+        if lacking := sorted(counts.keys() - found.keys()):
+            raise RuntimeError(f"no tree was fitted for {lacking[:5]}, whose rows would be lost")
         return found
 
     def parts(self) -> Iterator[dict[str, Tree]]:
