@@ -364,6 +364,20 @@ def _forward(logb: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.
     return alpha, scale, float((np.log(scale) + top).sum())
 
 
+def _log_likelihoods(logb: np.ndarray, start: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """What _forward gives as its last value, for many records of equal length (records x steps x states) at once."""
+    top = logb.max(2)
+    b = np.exp(logb - top[:, :, None])
+    alpha, total = start * b[:, 0], top.sum(1)
+    for t in range(logb.shape[1]):
+        if t:
+            alpha = (alpha @ move) * b[:, t]
+        scale = np.maximum(alpha.sum(1), 1e-300)
+        alpha /= scale[:, None]
+        total += np.log(scale)
+    return total
+
+
 class GaussHMM:
     """Gaussian hidden Markov model of one series (steps x channels), full covariances, fitted by expectation maximisation."""
 
@@ -399,6 +413,11 @@ class GaussHMM:
     def score(self, x: np.ndarray) -> float:
         return _forward(_log_gauss(x, self.mean, self.cov), self.start, self.move)[2]
 
+    def score_all(self, x: np.ndarray) -> np.ndarray:
+        """score of every record (records x steps x channels)."""
+        logb = _log_gauss(x.reshape(-1, x.shape[2]), self.mean, self.cov).reshape(*x.shape[:2], -1)
+        return _log_likelihoods(logb, self.start, self.move)
+
 
 def hmm_likelihoods(rows: DataFrame, models: DataFrame, depth: int, states: int = 5, rounds: int = 100) -> DataFrame:
     """i (model of record i), j, ll: mean log-likelihood per step of record j under the model fitted to record i."""
@@ -418,7 +437,7 @@ def hmm_likelihoods(rows: DataFrame, models: DataFrame, depth: int, states: int
         parts = []
         for i, m in zip(x.id, x.vec, strict=True):
             model = pickle.loads(m)  # noqa: S301
-            parts.append(pd.DataFrame({"i": i, "j": y.id.to_numpy(), "ll": [model.score(s) / len(s) for s in data]}))
+            parts.append(pd.DataFrame({"i": i, "j": y.id.to_numpy(), "ll": model.score_all(data) / data.shape[1]}))
         return pd.concat(parts)
 
     return meet(fitted, rows.select("id", "vec"), kernel, "i long, j long, ll double", rows=512)

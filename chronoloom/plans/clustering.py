@@ -223,9 +223,9 @@ def tsne_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hmm_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Likelihood distances between the rows whose id is divisible by 20, each with its own model."""
-    p = _asked(_points(spark, d).select("id", "vec"))
-    return shapes.likelihood_distances(materialize(shapes.hmm_likelihoods(p, p, DEPTH, states=3, rounds=20), "ll"))
+    """Likelihood distances between all rows: each has its own model, and every model scores every row."""
+    p = materialize(_points(spark, d).select("id", "vec"), "points")
+    return shapes.likelihood_distances(materialize(shapes.hmm_likelihoods(p, p, DEPTH), "ll"))
 
 
 QUERIES = {

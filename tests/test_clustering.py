@@ -212,6 +212,21 @@ def test_hidden_markov(spark):
     assert shapes.likelihood_divergence(ll).count() == 28
 
 
+def test_hidden_markov_query_takes_all_rows(spark, tmp_path):
+    from chronoloom.plans.clustering import QUERIES
+
+    x = np.random.default_rng(2).standard_normal((23, 64)).astype("float32")
+    frame(spark, x).selectExpr("id as vec_id", "cast(vec as array<float>) as embedding", "0 as label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.i, r.j): r.d for r in QUERIES["hmm_distance"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(itertools.combinations(range(23), 2))
+    series = [v.astype(float).reshape(4, 16).T for v in x]
+    models = [shapes.GaussHMM(s, states=5, rounds=100) for s in series]
+    ll = np.array([[m.score(s) / 16 for s in series] for m in models])
+    own = np.diag(ll)
+    want = np.maximum((own[:, None] - ll + own[None, :] - ll.T) / 2, 0)
+    assert all(np.isclose(v, want[k], rtol=1e-6, atol=1e-8) for k, v in got.items())
+
+
 def test_points_leave_out_unusable(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0, float("nan")]), (None, [1.0]), (4, [None, 1.0])], "k long, v array<double>")
     assert [r.id for r in points(df, "k", "v").collect()] == [1]
