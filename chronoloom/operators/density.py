@@ -48,6 +48,10 @@ def dbscan_predict(queries: DataFrame, rows: DataFrame, labels: DataFrame, eps:
     return queries.select("id").join(hit, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
 
 
+#: Places of the curve that are compared at once.
+CURVE_PART = 1_000_000
+
+
 def turning_points(curve: np.ndarray, diff: float, slope: float) -> list[int]:
     """Places of the sorted curve where an interval splits into two of nearly equal, small slopes. Every interval is split where
     the slopes to both of its ends differ least (the first such place), whether or not the place is accepted."""
@@ -56,13 +60,21 @@ def turning_points(curve: np.ndarray, diff: float, slope: float) -> list[int]:
         a, b = todo.pop()
         if b - a <= 1:
             continue
-        k = np.arange(a + 1, b)
-        left, right = (curve[k] - curve[a]) / (k - a), (curve[b] - curve[k]) / (b - k)
-        gap = np.abs(left - right)
-        m = int(gap.argmin())
-        if gap[m] < diff and abs(left[m]) < slope and abs(right[m]) < slope:
-            found.append(int(k[m]))
-        todo += [(a, int(k[m]) - 1), (int(k[m]) + 1, b)]
+        if curve[a] == curve[b]:  # level, so that each split is at the second place of what is left
+            if diff > 0 and slope > 0:
+                found += range(a + 1, b, 2)
+            continue
+        at, gap, left, right = a + 1, np.inf, 0.0, 0.0
+        for start in range(a + 1, b, CURVE_PART):
+            k = np.arange(start, min(start + CURVE_PART, b))
+            lefts, rights = (curve[k] - curve[a]) / (k - a), (curve[b] - curve[k]) / (b - k)
+            gaps = np.abs(lefts - rights)
+            m = int(gaps.argmin())
+            if gaps[m] < gap:
+                at, gap, left, right = int(k[m]), gaps[m], lefts[m], rights[m]
+        if gap < diff and abs(left) < slope and abs(right) < slope:
+            found.append(at)
+        todo += [(a, at - 1), (at + 1, b)]
     return sorted(found)
 
 
@@ -92,17 +104,13 @@ def curve_table(rows: DataFrame, k: int, metric: str = "l1") -> DataFrame:
     return part.withColumn("_r", inner).join(before, "_p").select((F.col("_r") + F.col("before") - 1).alias("rank"), "id", "k_dis")
 
 
-CURVE_POINTS = 200_000
-
-
 def multi_density(rows: DataFrame, k: int, diff: float, slope: float, low: float, high: float, min_samples: int | None = None, metric: str = "l1") -> DataFrame:
     """id, cluster, is_noise: clusters of the smallest radius first, then of what is left at the next one. Codes are dense; noise, if
-    there is any, is code 0, as is usual for categories with a lowest member -1. The curve's values (one number per row) are
-    searched on the driver, up to CURVE_POINTS of them; a longer curve is read at every n-th rank."""
+    there is any, is code 0, as is usual for categories with a lowest member -1. The curve's values are searched on the driver,
+    all of them: 8 bytes per row."""
     n = rows.count()
     curve = curve_table(rows, k, metric)
-    step = -(-n // CURVE_POINTS) or 1
-    values = np.array([r[0] for r in curve.filter(F.col("rank") % step == 0).orderBy("rank").select("k_dis").collect()])
+    values = curve.orderBy("rank").select("k_dis").toArrow()["k_dis"].to_numpy()
     need = min_samples if min_samples is not None else (4 if n == 80 else 3)
     left, parts = rows.select("id", "vec"), []
     for number, r in enumerate(radii(values, diff, slope, low, high)):

@@ -82,6 +82,33 @@ def test_turning_points_by_hand():
     assert density.radii(flat, 0.1, 0.1, 0.0, 1.0)
 
 
+def test_turning_points_of_level_parts(monkeypatch):
+    def plain(curve, diff, slope, a, b):
+        if b - a <= 1:
+            return []
+        gap = [abs((curve[k] - curve[a]) / (k - a) - (curve[b] - curve[k]) / (b - k)) for k in range(a + 1, b)]
+        m = a + 1 + int(np.argmin(gap))
+        ok = min(gap) < diff and (curve[m] - curve[a]) / (m - a) < slope and (curve[b] - curve[m]) / (b - m) < slope
+        return plain(curve, diff, slope, a, m - 1) + [m] * bool(ok) + plain(curve, diff, slope, m + 1, b)
+
+    curve = np.sort(np.round(np.random.default_rng(6).gamma(2, 1, 200), 1))
+    want = plain(curve, 0.05, 0.3, 0, 199)
+    for part in (7, 10**6):
+        monkeypatch.setattr(density, "CURVE_PART", part, raising=False)
+        assert density.turning_points(curve, 0.05, 0.3) == want
+    assert density.turning_points(np.zeros(8), 0.1, 0.1) == [1, 3, 5] and density.turning_points(np.zeros(8), 0.0, 0.1) == []
+
+
+def test_multi_density_reads_the_whole_curve(spark, monkeypatch):
+    x = blobs()
+    seen, find = [], density.radii
+    monkeypatch.setattr(density, "CURVE_POINTS", 50, raising=False)
+    monkeypatch.setattr(density, "radii", lambda curve, *args: seen.append(curve) or find(curve, *args))
+    density.multi_density(frame(spark, x), 4, 0.05, 0.5, 1e-9, 1e9, 3)
+    d = np.sort(np.abs(x[:, None] - x[None]).sum(2), axis=1)[:, 4]
+    assert len(seen[0]) == len(x) and np.allclose(seen[0], np.sort(d))
+
+
 def test_multi_density(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 0.05, (30, 2)), rng.normal((5, 5), 0.5, (30, 2)), [[50.0, 50]]])
