@@ -6,6 +6,7 @@ the terms are those of the items, since a passage can match in no other. A rando
 gives each term a place in a latent space; a passage is the sum of its terms.
 Windows of the items are grouped around centres, each tile is compared, by cosine, with the windows of its nearest centre. A
 tile that equals a window has the same vector, so the same centre and cosine 1: no run of 13 words can be missed by the search.
+For paraphrases it is compared with the windows of every centre that may hold one near enough.
 Candidates are then checked: the exact run of words around the tile, and for paraphrases the longest common subsequence and the
 share of the answer's words.
 
@@ -175,6 +176,8 @@ class Search:
         near = self.nearest(w)
         self.of = [np.flatnonzero(near == c) for c in range(len(self.centres))]
         self.w = w
+        apart = np.arccos(np.clip((w * self.centres[near]).sum(1), -1, 1))
+        self.reach = np.array([apart[of].max(initial=0.0) for of in self.of])
 
     def place(self, m: np.ndarray) -> np.ndarray:
         """Unit vector of each passage. Words are added in their order, one by one, so equal passages have equal vectors."""
@@ -188,17 +191,23 @@ class Search:
         return np.round(x @ self.centres.T, 4).argmax(1)
 
     def candidates(self, m: np.ndarray, least: float = NEAR) -> tuple[np.ndarray, np.ndarray]:
-        """(row of m, window) with a cosine of at least `least`, each row against the windows of its nearest centre."""
+        """(row of m, window) with a cosine of at least `least`. From NEAR on, where passages are equal, a row is compared with the
+        windows of its nearest centre; below, with those of every centre that may hold such a window by the angles."""
         x = self.place(m)
-        near = self.nearest(x)
-        order = np.argsort(near, kind="stable")
-        cut = np.searchsorted(near[order], np.arange(len(self.of) + 1))
+        if least >= NEAR:
+            near = self.nearest(x)
+            order = np.argsort(near, kind="stable")
+            parts = np.split(order, np.searchsorted(near[order], np.arange(1, len(self.of))))
+        else:
+            far = np.arccos(np.clip(x @ self.centres.T, -1, 1))
+            probed = far - self.reach[None, :] <= np.arccos(least) + 5e-3  # for rounding in single precision
+            parts = [np.flatnonzero(p) for p in probed.T]
         rows, wins = [], []
-        for c, of in enumerate(self.of):
-            part = order[cut[c] : cut[c + 1]]
-            if len(part) and len(of):
-                i, j = np.nonzero(x[part] @ self.w[of].T >= least)
-                rows.append(part[i])
+        for part, of in zip(parts, self.of, strict=True):
+            step = max(1, 4_000_000 // max(1, len(of)))
+            for k in range(0, len(part) if len(of) else 0, step):
+                i, j = np.nonzero(x[part[k : k + step]] @ self.w[of].T >= least)
+                rows.append(part[k + i])
                 wins.append(of[j])
         return (np.concatenate(rows), np.concatenate(wins)) if rows else (np.zeros(0, int), np.zeros(0, int))
 

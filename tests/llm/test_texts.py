@@ -176,6 +176,21 @@ def test_paraphrases(spark):
     assert [(r.doc_id, r.item_id) for r in out] == [(1, 7)] and out[0].lcs_share > 0.8 and out[0].longest_run < 13
 
 
+def test_near_windows_of_all_centres():
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(5)
+    windows, terms = rng.integers(0, 60, (900, leaks.PASSAGE)), rng.standard_normal((60, 4)).astype(np.float32)
+    search = leaks.Search(SimpleNamespace(windows=windows), terms, centres=20)
+    m = windows[:200].copy()
+    m[:, 2] = -1
+    got = set(zip(*(z.tolist() for z in search.candidates(m, 0.9)), strict=True))
+    cosine = search.place(m) @ search.w.T
+    assert set(zip(*np.nonzero(cosine >= 0.9001), strict=True)) <= got <= set(zip(*np.nonzero(cosine >= 0.8999), strict=True))
+    same = set(zip(*(z.tolist() for z in search.candidates(windows[:200])), strict=True))
+    assert {(k, k) for k in range(200)} <= same
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(11)
     for _ in range(30):
