@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.operators.hotdeck import hot_deck
-from chronoloom.operators.spikes import implausible_readings, sample_spikes
+from chronoloom.operators.spikes import implausible_readings
 from chronoloom.operators.widen import empty_cells, reading_grid, wide_table
 from chronoloom.storage import table
 
@@ -16,10 +16,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_rolling(spark: SparkSession, d: str) -> DataFrame:
-    """The same with a rolling median of 15 readings, for sources whose level drifts: cases per dataset and channel."""
-    cases = sample_spikes(table(spark, d, "samples"), table(spark, d, "channels"), window=15)
-    which = table(spark, d, "samples").select("sample_id", "dataset").distinct()
-    return cases.join(which, "sample_id").groupBy("dataset", "var_id").agg(F.count("*").alias("n_cases"), F.countDistinct("sample_id").alias("n_samples"))
+    """The same with a rolling median of 15 readings, for sources whose level drifts: cases per origin, dataset (null for EEG
+    readings, which have none) and channel, and in how many series."""
+    cases = implausible_readings(table(spark, d, "eeg_readings"), table(spark, d, "sensors"), table(spark, d, "samples"), table(spark, d, "channels"), window=15)
+    which = table(spark, d, "samples").select(F.lit("samples").alias("origin"), F.col("sample_id").alias("rec_key"), "dataset").distinct()
+    named = cases.join(which, ["origin", "rec_key"], "left")
+    return named.groupBy("origin", "dataset", "chan").agg(F.count("*").alias("n_cases"), F.countDistinct("rec_key", "trail_num").alias("n_samples"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -113,6 +113,24 @@ def test_sample_spikes(spark):
     assert sample_spikes(df.filter("false"), ch).count() == 0
 
 
+def test_rolling_query_has_both_origins(spark, sensors, tmp_path):
+    from chronoloom.plans.cleaning import QUERIES
+
+    level = [float(k % 3) for k in range(40)]
+    level[20] = 60.0
+    ch = spark.createDataFrame([("a", 0, "", None, None, None, 40)], CHANNELS)
+    tables = {
+        "eeg_readings": spark.createDataFrame([(1, 1, 0, "C3", k, str(v), at(1)) for k, v in enumerate(level)], READINGS),
+        "sensors": sensors,
+        "samples": spark.range(7, 8).selectExpr("id as sample_id", "'a' as dataset", f"array(array({', '.join(f'{v}D' for v in level)})) as series"),
+        "channels": ch,
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r.origin, r.dataset, r.chan): (r.n_cases, r.n_samples) for r in QUERIES["p2_rolling"](spark, str(tmp_path)).collect()}
+    assert got == {("eeg_readings", None, "C3"): (1, 1), ("samples", "a", "0"): (1, 1)}
+
+
 def test_wide_table(spark, sensors):
     rows = [(1, 1, 0, "C3", 0, "1,5", at(1)), (1, 1, 0, "c3 ", 0, "2.5", at(3)), (1, 1, 0, "T3", 1, "4 uV", at(1)), (1, 1, 0, "T7", 1, "", at(2)), (1, 1, 0, "T7", 0, "8", at(1)), (1, 1, 1, "C3", 0, "n/a", at(1)), (1, 1, 2, "AUX", 5, "1", at(1))]
     df = spark.createDataFrame([(*r, "clash") for r in rows], READINGS + ", wanted string")
