@@ -178,42 +178,58 @@ def _shifted(x: np.ndarray, lag: np.ndarray) -> np.ndarray:
     return np.where(ok[:, None, :], np.take_along_axis(x, np.clip(at, 0, length - 1)[:, None, :].repeat(x.shape[1], 1), 2), 0)
 
 
-def k_shape(rows: DataFrame, k: int, depth: int, seed: int = 5, rounds: int = 12) -> DataFrame:
-    """id, cluster: shape-based clusters of z-scaled series. Assignment by the best lag, centres as leading eigenvectors of the aligned
-    members' products, which are summed over all members before one small matrix per cluster and channel is solved."""
+def _z_scaled(x: np.ndarray) -> np.ndarray:
+    return (x - x.mean(2, keepdims=True)) / np.maximum(x.std(2, keepdims=True), 1e-12)
+
+
+def k_shape(rows: DataFrame, k: int, depth: int, seed: int = 5, rounds: int = 12, starts: int = 6) -> DataFrame:
+    """id, cluster: shape-based clusters of series, z-scaled per channel. Assignment by the best lag, centres as leading eigenvectors of
+    the aligned members' products, which are summed over all members before one small matrix per cluster and channel is solved. All
+    starts share a pass per round; the one of the least total shape distance is kept (ties to the first)."""
     rng = np.random.default_rng(seed)
-    first = _picked(rows, k)
-    centre = first.reshape(k, depth, -1) + 1e-3 * rng.standard_normal((k, depth, first.shape[1] // depth))
-    length = centre.shape[2]
+    first = _z_scaled(series_rows(pd.Series(list(_picked(rows, k * starts))), depth))
+    length = first.shape[2]
+    pick = [np.arange(k * s, k * s + k) if k * s + k <= len(first) else rng.permutation(len(first))[:k] for s in range(starts)]
+    centres = [first[p] + 1e-3 * rng.standard_normal((len(p), depth, length)) for p in pick]
+    live = list(range(starts))
     for _ in range(rounds):
-        c = centre
+        now = {s: centres[s] for s in live}
 
-        def partial(frames: Iterator[pd.DataFrame], c: np.ndarray = c) -> Iterator[pd.DataFrame]:
+        def partial(frames: Iterator[pd.DataFrame], now: dict[int, np.ndarray] = now) -> Iterator[pd.DataFrame]:
             for f in frames:
-                x = series_rows(f.vec, depth)
-                d, lag = _two_sided(x, c)
-                own = d.argmin(1)
-                for j in np.unique(own):
-                    a = _shifted(x[own == j], lag[own == j, j])
-                    a = (a - a.mean(2, keepdims=True)) / np.maximum(a.std(2, keepdims=True), 1e-12)
-                    for v in range(depth):
-                        yield pd.DataFrame({"k": int(j), "v": v, "i": np.arange(length), "row": list(a[:, v].T @ a[:, v])})
+                x = _z_scaled(series_rows(f.vec, depth))
+                for s, c in now.items():
+                    d, lag = _two_sided(x, c)
+                    own = d.argmin(1)
+                    for j in np.unique(own):
+                        a = _z_scaled(_shifted(x[own == j], lag[own == j, j]))
+                        for v in range(depth):
+                            yield pd.DataFrame({"s": s, "k": int(j), "v": v, "i": np.arange(length), "row": list(a[:, v].T @ a[:, v])})
 
         cols = F.array(*(F.sum(F.col("row")[i]) for i in range(length)))
-        got = rows.select("vec").mapInPandas(partial, "k int, v int, i int, row array<double>").groupBy("k", "v", "i").agg(cols.alias("row")).toPandas()  # k x channels x L x L
+        got = rows.select("vec").mapInPandas(partial, "s int, k int, v int, i int, row array<double>").groupBy("s", "k", "v", "i").agg(cols.alias("row")).toPandas()  # starts x k x channels x L x L
         q = np.eye(length) - 1 / length
-        centre = c.copy()
-        for (j, v), g in got.groupby(["k", "v"]):
-            s = np.stack(g.sort_values("i").row.to_numpy())
-            w = np.linalg.eigh(q @ s @ q)[1][:, -1]
-            centre[j, v] = w if w @ c[j, v] >= 0 else -w
-        if np.abs(centre - c).max() < 1e-4:
+        for s in live:
+            centres[s] = now[s].copy()
+        for (s, j, v), g in got.groupby(["s", "k", "v"]):
+            m = np.stack(g.sort_values("i").row.to_numpy())
+            w = np.linalg.eigh(q @ m @ q)[1][:, -1]
+            centres[s][j, v] = w if w @ now[s][j, v] >= 0 else -w
+        live = [s for s in live if np.abs(centres[s] - now[s]).max() >= 1e-4]
+        if not live:
             break
-    last = centre
+
+    def total(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            x = _z_scaled(series_rows(f.vec, depth))
+            yield pd.DataFrame({"s": np.arange(starts), "d": [_two_sided(x, c)[0].min(1).sum() for c in centres]})
+
+    sums = rows.select("vec").mapInPandas(total, "s int, d double").groupBy("s").agg(F.sum("d").alias("d")).toPandas()  # starts
+    last = centres[int(sums.sort_values(["d", "s"]).s.iloc[0]) if len(sums) else 0]
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"id": f.id, "cluster": _two_sided(series_rows(f.vec, depth), last)[0].argmin(1)})
+            yield pd.DataFrame({"id": f.id, "cluster": _two_sided(_z_scaled(series_rows(f.vec, depth)), last)[0].argmin(1)})
 
     return rows.select("id", "vec").mapInPandas(place, "id long, cluster long")
 

@@ -228,6 +228,14 @@ def test_series_clusterers(spark):
     assert np.mean(best == np.repeat([0, 12], 12)) > 0.9
 
 
+def test_k_shape_scales_and_keeps_the_best_start(spark):
+    x = waves().reshape(24, 2, 24) * np.array([1.0, 300.0])[None, :, None] + np.array([5.0, 900.0])[None, :, None]
+    df = frame(spark, x.reshape(24, -1))
+    assert agreement(shapes.k_shape(df, 2, 2).toPandas(), 12) > 0.9
+    raw, scaled = (shapes.k_shape(y, 2, 2).toPandas().sort_values("id").cluster for y in (df, frame(spark, waves())))
+    assert list(raw) == list(scaled)
+
+
 def test_hidden_markov(spark):
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.standard_normal((4, 2, 40)), 6 + 3 * rng.standard_normal((4, 2, 40))]).reshape(8, -1)
