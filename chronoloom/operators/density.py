@@ -12,11 +12,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.operators.distances import METRICS, k_distances, meet, nearest, stack, within
+from chronoloom.operators.distances import METRICS, k_distances, meet, meet_self, nearest, nearest_within, stack, within
 from chronoloom.operators.graphs import components
 from chronoloom.storage import materialize, materialize_measured
 
 
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """df with the place of each row in the order, from 0: rows are parted into ranges, the sizes of the ranges before are added to
+    the ranks inside, so that no task sorts all of them."""
+    part = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    part = materialize(part, "ranges")
+    sizes = part.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p")) - F.col("_n")).drop("_n")  # one row per range
+    inner = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return part.withColumn("_r", inner).join(before, "_p").withColumn(out, (F.col("_r") + F.col("_before")).cast("long")).drop("_p", "_r", "_before")
+
+
 def dbscan(rows: DataFrame, eps: float, min_samples: int, metric: str = "l1") -> DataFrame:
     """id, cluster, is_core. rows: id, vec."""
     links = materialize(within(rows, eps, metric), "links")
@@ -25,7 +36,7 @@ def dbscan(rows: DataFrame, eps: float, min_samples: int, metric: str = "l1") ->
     comp = components(links.join(a, "i").join(b, "j").select(F.col("i").alias("a"), F.col("j").alias("b")))
     owner = core.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
     heads = owner.select("comp").distinct()
-    number = heads.withColumn("cluster", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("comp")) - 1).cast("long"))
+    number = numbered(heads, ["comp"], "cluster")
     named = owner.join(number, "comp").select("id", "cluster")
     border = links.join(named.withColumnRenamed("id", "j"), "j").groupBy("i").agg(F.min("cluster").alias("near")).withColumnRenamed("i", "id")
     out = rows.select("id").join(named, "id", "left").join(border, "id", "left")
@@ -95,13 +106,7 @@ def radii(curve: np.ndarray, diff: float, slope: float, low: float, high: float,
 
 def curve_table(rows: DataFrame, k: int, metric: str = "l1") -> DataFrame:
     """rank, id, k_dis: the sorted k-distance curve, ranked in value ranges, so that no task sorts it as a whole."""
-    dist = materialize(k_distances(rows, k, metric), "kdist")
-    part = dist.repartitionByRange("k_dis", "id").sortWithinPartitions("k_dis", "id").withColumn("_p", F.spark_partition_id())
-    part = materialize(part, "kcurve")
-    sizes = part.groupBy("_p").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_p")) - F.col("n"))  # one row per partition
-    inner = F.row_number().over(Window.partitionBy("_p").orderBy("k_dis", "id"))
-    return part.withColumn("_r", inner).join(before, "_p").select((F.col("_r") + F.col("before") - 1).alias("rank"), "id", "k_dis")
+    return numbered(materialize(k_distances(rows, k, metric), "kdist"), ["k_dis", "id"], "rank").select("rank", "id", "k_dis")
 
 
 def multi_density(rows: DataFrame, k: int, diff: float, slope: float, low: float, high: float, min_samples: int | None = None, metric: str = "l1") -> DataFrame:
@@ -124,7 +129,7 @@ def multi_density(rows: DataFrame, k: int, diff: float, slope: float, low: float
     for p in parts:
         every = every.unionByName(p)
     every = materialize(every, "clusters")
-    codes = every.select("pass", "cluster").distinct().withColumn("code", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pass", "cluster")) - 1)
+    codes = numbered(every.select("pass", "cluster").distinct(), ["pass", "cluster"], "code")
     return every.join(codes, ["pass", "cluster"]).select("id", F.col("code").cast("long").alias("cluster"), (F.col("pass") == -1).alias("is_noise"))
 
 
@@ -134,31 +139,30 @@ def nearest_label(queries: DataFrame, rows: DataFrame, labels: DataFrame, metric
 
 
 class DensityPeaks:
-    """Density peaks over rows (id, vec)."""
+    """Density peaks over rows (id, vec). rho: gauss (sum of exp(-(d / dc)^2) over all points), count (points nearer than dc), nearest
+    (from the mean distance of the nearest 5 %)."""
 
     def __init__(self, rows: DataFrame, metric: str = "l1", dc: float | None = None, percent: float = 1.0, rho: str = "gauss") -> None:
         self.rows, self.metric, self.n = rows.select("id", "vec"), metric, rows.count()
         self.dc = dc if dc is not None else self.cutoff(percent)
         self.rho = materialize(self._rho(rho), "rho")
 
-    def _pairs(self, kernel, schema: str) -> DataFrame:
-        return meet(self.rows, self.rows, kernel, schema)
+    def _pairs(self, kernel, schema: str, table: DataFrame | None = None) -> DataFrame:
+        return meet_self(self.rows if table is None else table, self.metric, kernel, schema)
 
     def cutoff(self, percent: float, tries: int = 10) -> float:
         """Bisection for a distance below which lie percent to percent + 1 per cent of the unordered pairs; at most `tries` steps,
         each one pass that counts."""
-        f = METRICS[self.metric]
 
-        def most(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"m": [f(stack(x.vec), stack(y.vec)).max()]})
+        def most(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"m": [d.max()]})
 
         lo, hi = 0.0, self._pairs(most, "m double").agg(F.max("m")).first()[0] or 0.0
         dc = hi / 2
         for _ in range(tries):
             dc = (lo + hi) / 2
 
-            def below(x: pd.DataFrame, y: pd.DataFrame, dc: float = dc) -> pd.DataFrame:
-                d = f(stack(x.vec), stack(y.vec))
+            def below(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray, dc: float = dc) -> pd.DataFrame:
                 return pd.DataFrame({"n": [int(((d < dc) & (x.id.to_numpy()[:, None] < y.id.to_numpy()[None, :])).sum())]})
 
             share = (self._pairs(below, "n long").agg(F.sum("n")).first()[0] or 0) / max((self.n - 1) ** 2 / 2, 1)
@@ -168,39 +172,37 @@ class DensityPeaks:
         return dc
 
     def _rho(self, kind: str) -> DataFrame:
-        f, dc = METRICS[self.metric], self.dc
+        dc = self.dc
         if kind == "nearest":
             k = int(self.n * 0.05)
-            near = nearest(self.rows, self.rows, max(k, 1), self.metric).groupBy("i").agg(F.sum("d").alias("s"))
+            near = nearest_within(self.rows, max(k, 1), self.metric).groupBy("i").agg(F.sum("d").alias("s"))
             return near.select(F.col("i").alias("id"), F.exp(-F.col("s") / max(k - 1, 1)).alias("rho"))
 
-        def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            d = f(stack(x.vec), stack(y.vec))
+        def kernel(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
             return pd.DataFrame({"id": x.id.to_numpy(), "rho": np.exp(-((d / dc) ** 2)).sum(1) if kind == "gauss" else (d < dc).sum(1).astype(float)})
 
         out = self._pairs(kernel, "id long, rho double").groupBy("id").agg(F.sum("rho").alias("rho"))
         return out if kind == "gauss" else out.withColumn("rho", F.col("rho") - 1)
 
-    def delta(self) -> DataFrame:
-        """id, rho, delta, link: distance to the nearest denser point (of equal density, the larger id is denser), and that point.
-        The densest gets the largest delta and links to itself."""
-        f = METRICS[self.metric]
+    def delta(self, strict: bool = False) -> DataFrame:
+        """id, rho, delta, link: distance to the nearest denser point, and that point. Of points of equal density the one with the
+        larger id is the denser; the densest gets the largest delta and links to itself. strict: only greater densities are
+        denser, and each point without a denser one gets the largest of its own distances and links to itself."""
         dense = self.rows.join(self.rho, "id")
 
-        def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            y = y.sort_values("id")
-            d = f(stack(x.vec), stack(y.vec))
+        def kernel(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
             a, b = x.rho.to_numpy()[:, None], y.rho.to_numpy()[None, :]
-            higher = (b > a) | ((b == a) & (y.id.to_numpy()[None, :] > x.id.to_numpy()[:, None]))
-            d = np.where(higher, d, np.inf)
-            at = d.argmin(1)
-            best = d[np.arange(len(x)), at]
-            ok = np.isfinite(best)
-            return pd.DataFrame({"id": x.id.to_numpy()[ok], "delta": best[ok], "link": y.id.to_numpy()[at[ok]]})
-
-        found = meet(dense, dense, kernel, "id long, delta double, link long").groupBy("id").agg(F.min(F.struct("delta", "link")).alias("m")).select("id", "m.*")
-        top = found.agg(F.max("delta")).first()[0]
-        return self.rho.join(found, "id", "left").select("id", "rho", F.coalesce("delta", F.lit(top), F.lit(0.0)).alias("delta"), F.coalesce("link", "id").alias("link"))
+            higher = b > a if strict else (b > a) | ((b == a) & (y.id.to_numpy()[None, :] > x.id.to_numpy()[:, None]))
+            near = np.where(higher, d, np.inf)
+            at = near.argmin(1)
+            best = near[np.arange(len(x)), at]
+            none = ~np.isfinite(best)
+            return pd.DataFrame({"id": x.id.to_numpy(), "near": pd.arrays.FloatingArray(np.where(none, 0, best), none), "link": pd.arrays.IntegerArray(y.id.to_numpy()[at].astype(np.int64), none), "far": d.max(1)})
+
+        found = self._pairs(kernel, "id long, near double, link long, far double", dense)
+        best = found.groupBy("id").agg(F.min(F.when(F.col("link").isNotNull(), F.struct(F.col("near").alias("delta"), "link"))).alias("m"), F.max("far").alias("far")).select("id", "m.*", "far")
+        top = F.col("far") if strict else F.lit(best.agg(F.max("delta")).first()[0])
+        return self.rho.join(best, "id").select("id", "rho", F.coalesce("delta", top, F.lit(0.0)).alias("delta"), F.coalesce("link", "id").alias("link"))
 
     def centers(self, n: int) -> DataFrame:
         """The n points with the largest rho * delta (ties to the smaller id)."""
@@ -220,13 +222,12 @@ class DensityPeaks:
     def halo(self, assigned: DataFrame) -> DataFrame:
         """id, center, is_core: points at least as dense as the densest border point of their cluster (one with a foreign point
         closer than dc); all points of a cluster without a border."""
-        f, dc = METRICS[self.metric], self.dc
-        full = self.rows.join(assigned, "id")
+        dc = self.dc
 
-        def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            near = (f(stack(x.vec), stack(y.vec)) < dc) & (x.center.to_numpy()[:, None] != y.center.to_numpy()[None, :])
+        def kernel(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
+            near = (d < dc) & (x.center.to_numpy()[:, None] != y.center.to_numpy()[None, :])
             return pd.DataFrame({"id": x.id.to_numpy()[near.any(1)]})
 
-        border = meet(full, full, kernel, "id long").distinct()
+        border = self._pairs(kernel, "id long", self.rows.join(assigned, "id")).distinct()
         limit = border.join(assigned, "id").join(self.rho, "id").groupBy("center").agg(F.max("rho").alias("limit"))
         return assigned.join(self.rho, "id").join(limit, "center", "left").select("id", "center", (F.col("limit").isNull() | (F.col("rho") >= F.col("limit"))).alias("is_core"))

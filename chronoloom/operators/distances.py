@@ -1,8 +1,9 @@
 """Distances between all records of a set, in blocks, without building the matrix.
 
-Rows are cut into B blocks by hash and each pair of blocks meets once in a task of bounded size (an equi-join on the pair of block
-numbers). What leaves a task is already reduced: the k nearest, the neighbours within a radius, sums per cluster, or counts per
-bin of distance. Symmetric uses take each pair of blocks once.
+Rows are cut into B blocks by hash and pairs of blocks meet in tasks of bounded size (an equi-join on the pair of block numbers).
+What leaves a task is already reduced: the k nearest, the neighbours within a radius, sums per cluster, or counts per bin of
+distance. Where a set meets itself (meet_self), only pairs of blocks with the first not after the second meet: the distances
+are made once and handed to the kernel from both sides.
 """
 
 from __future__ import annotations
@@ -14,24 +15,45 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block; a meeting holds two.
-ROWS = 2_048
+#: Rows of a block; a meeting holds two. Few rows are cut finer, so that they keep SPREAD blocks busy.
+ROWS, SPREAD = 2_048, 8
+#: Cells of the part of a distance matrix that is worked on at once: it stays in the processor's cache.
+PART = 65_536
 
 
-def l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty((len(a), len(b)))
-    step = max(1, 2_000_000 // max(1, b.size))
+def _by_dimension(a: np.ndarray, b: np.ndarray, add: Callable[[np.ndarray, np.ndarray], None]) -> np.ndarray:
+    """Sums over the dimensions of add(difference), row against row, one dimension of a part of the matrix at a time."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    out = np.zeros((len(a), len(b)))
+    at, bt = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    step = max(1, PART // max(1, len(b)))
+    gap = np.empty((min(step, len(a)), len(b)))
     for k in range(0, len(a), step):
-        out[k : k + step] = np.abs(a[k : k + step, None, :] - b[None, :, :]).sum(2)
+        part = out[k : k + step]
+        g = gap[: len(part)]
+        for x, y in zip(at, bt, strict=True):
+            np.subtract(x[k : k + step, None], y, out=g)
+            add(part, g)
     return out
 
 
+def _add_size(part: np.ndarray, g: np.ndarray) -> None:
+    np.abs(g, out=g)
+    part += g
+
+
+def _add_square(part: np.ndarray, g: np.ndarray) -> None:
+    np.multiply(g, g, out=g)
+    part += g
+
+
+def l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """L1 distances of all rows of a to all rows of b."""
+    return _by_dimension(a, b, _add_size)
+
+
 def l2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty((len(a), len(b)))
-    step = max(1, 2_000_000 // max(1, b.size))
-    for k in range(0, len(a), step):
-        out[k : k + step] = np.sqrt(((a[k : k + step, None, :] - b[None, :, :]) ** 2).sum(2))
-    return out
+    return np.sqrt(_by_dimension(a, b, _add_square))
 
 
 METRICS = {"l1": l1, "l2": l2}
@@ -44,15 +66,28 @@ def points(df: DataFrame, key: str, vector: str, *others: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), vec.alias("vec"), *others).filter(ok)
 
 
+def block_rows(n: int, rows: int) -> int:
+    """Rows of a block of n: at most `rows`, fewer where that would leave less than SPREAD blocks."""
+    return max(1, min(rows, max(64, -(-n // SPREAD))))
+
+
+def _hashed(df: DataFrame, n: int, name: str) -> DataFrame:
+    return df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)))
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in schema.split(", ")]
+
+
 def meet(left: DataFrame, right: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, group: list[str] | None = None, rows: int = ROWS) -> DataFrame:
     """kernel(rows of left, rows of right) for every pair of blocks, within each group. Both sides: id, vec, ..."""
     group = group or []
-    n_left, n_right = (max(1, -(-df.count() // rows)) for df in (left, right))
-    own = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)))
+    sizes = [df.count() for df in (left, right)]
+    n_left, n_right = (max(1, -(-n // block_rows(n, rows))) for n in sizes)
     other = lambda df, n, name: df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    a = other(own(left, n_left, "_a"), n_right, "_b")
-    b = other(own(right, n_right, "_b"), n_left, "_a")
-    columns = [c.strip().split(" ")[0] for c in schema.split(", ")]
+    a = other(_hashed(left, n_left, "_a"), n_right, "_b")
+    b = other(_hashed(right, n_right, "_b"), n_left, "_a")
+    columns = _columns(schema)
 
     # The right side gets names of its own: both may come from one table, whose columns the cogroup would then confuse.
     names = b.columns
@@ -66,6 +101,32 @@ def meet(left: DataFrame, right: DataFrame, kernel: Callable[[pd.DataFrame, pd.D
     return a.groupBy(*keys).cogroup(b.groupBy(*(f"r_{c}" for c in keys))).applyInPandas(run, schema)
 
 
+def meet_self(table: DataFrame, metric: str, kernel: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, rows: int = ROWS) -> DataFrame:
+    """kernel(x, y, distances of x to y) for every ordered pair of blocks of one table (id, vec, ...). Each unordered pair of blocks
+    meets once: a row is copied to the pairs its block is in, and the distances serve both orders."""
+    f = METRICS[metric]
+    n = table.count()
+    blocks = max(1, -(-n // block_rows(n, rows)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    placed = _hashed(table, blocks, "_own").withColumn("_other", every)
+    placed = placed.withColumns({"_a": F.least("_own", "_other"), "_b": F.greatest("_own", "_other")}).drop("_other")
+    columns = _columns(schema)
+
+    def run(both: pd.DataFrame) -> pd.DataFrame:
+        first = both._own.to_numpy() == both._a.to_numpy()
+        x = both[first].sort_values("id").drop(columns=["_own", "_a", "_b"]).reset_index(drop=True)
+        if both._a.iloc[0] == both._b.iloc[0]:
+            v = stack(x.vec)
+            return kernel(x, x, f(v, v))
+        y = both[~first].sort_values("id").drop(columns=["_own", "_a", "_b"]).reset_index(drop=True)
+        if not len(x) or not len(y):
+            return pd.DataFrame({c: [] for c in columns})
+        d = f(stack(x.vec), stack(y.vec))
+        return pd.concat([kernel(x, y, d), kernel(y, x, d.T)])
+
+    return placed.groupBy("_a", "_b").applyInPandas(run, schema)
+
+
 def stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy())
 
@@ -83,76 +144,82 @@ def distances_from(queries: DataFrame, rows: DataFrame, metric: str = "l1") -> D
 
 def within(rows: DataFrame, eps: float, metric: str = "l1", strict: bool = False) -> DataFrame:
     """i, j, d of all ordered pairs within eps, each row with itself among them."""
-    f = METRICS[metric]
 
-    def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        d = f(stack(x.vec), stack(y.vec))
+    def kernel(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
         i, j = np.nonzero(d < eps if strict else d <= eps)
         return pd.DataFrame({"i": x.id.to_numpy()[i], "j": y.id.to_numpy()[j], "d": d[i, j]})
 
-    return meet(rows, rows, kernel, "i long, j long, d double")
+    return meet_self(rows.select("id", "vec"), metric, kernel, "i long, j long, d double")
+
+
+def _k_smallest(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest rows of y (ordered by id) of each row of x; ties to the smaller id."""
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    dist = np.take_along_axis(d, near, 1)
+    i, j = np.nonzero(np.isfinite(dist))
+    return pd.DataFrame({"i": x.id.to_numpy()[i], "j": y.id.to_numpy()[near[i, j]], "d": dist[i, j]})
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k).select("i", "rank", "j", "d")
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l1", others: bool = False) -> DataFrame:
-    """i, rank (from 1), j, d: the k nearest rows of each query, ties to the smaller id. others: leave the query itself out."""
+def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l1") -> DataFrame:
+    """i, rank (from 1), j, d: the k nearest rows of each query, ties to the smaller id."""
     f = METRICS[metric]
 
     def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         y = y.sort_values("id")
-        d = f(stack(x.vec), stack(y.vec))
-        if others:
-            d[x.id.to_numpy()[:, None] == y.id.to_numpy()[None, :]] = np.inf
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        dist = np.take_along_axis(d, near, 1)
-        i, j = np.nonzero(np.isfinite(dist))
-        return pd.DataFrame({"i": x.id.to_numpy()[i], "j": y.id.to_numpy()[near[i, j]], "d": dist[i, j]})
-
-    found = meet(queries, rows, kernel, "i long, j long, d double")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k).select("i", "rank", "j", "d")
+        return _k_smallest(x, y, f(stack(x.vec), stack(y.vec)), k)
 
+    return _ranked(meet(queries, rows, kernel, "i long, j long, d double"), k)
 
-def k_distances(rows: DataFrame, k: int, metric: str = "l1") -> DataFrame:
-    """id, k_dis: distance of the k-th nearest row, the row itself being number 0."""
-    return nearest(rows, rows, k + 1, metric).filter(F.col("rank") == k + 1).select(F.col("i").alias("id"), F.col("d").alias("k_dis"))
 
+def nearest_within(rows: DataFrame, k: int, metric: str = "l1") -> DataFrame:
+    """The same of every row among all rows, itself among them."""
+    return _ranked(meet_self(rows.select("id", "vec"), metric, lambda x, y, d: _k_smallest(x, y, d, k), "i long, j long, d double"), k)
 
-def distance_percentile(rows: DataFrame, percent: float, metric: str = "l1", bins: int = 4096) -> float:
-    """Linearly interpolated percentile of the distances other than 0 of all ordered pairs, exact, without keeping them: a pass
-    counts them per bin, and the bins are narrowed around the two ranks until no more than KEEP distances lie in them."""
-    f = METRICS[metric]
 
-    def counts(lo: float, hi: float) -> pd.DataFrame:
-        def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            d = f(stack(x.vec), stack(y.vec)).ravel()
-            d = d[d != 0]
-            at = np.clip(np.ceil((d - lo) / (hi - lo) * bins), 0, bins + 1).astype(np.int64)
-            n = np.bincount(at, minlength=bins + 2)
-            least = np.full(bins + 2, np.inf)
-            np.minimum.at(least, at, d)
-            most = np.full(bins + 2, -np.inf)
-            np.maximum.at(most, at, d)
-            k = np.flatnonzero(n)
-            return pd.DataFrame({"bin": k, "n": n[k], "lo": least[k], "hi": most[k]})
-
-        found = meet(rows, rows, kernel, "bin long, n long, lo double, hi double")
-        return found.groupBy("bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("bin").toPandas()  # at most bins + 2 rows
-
-    first = counts(0.0, 1e300)
-    total = int(first.n.sum())
-    if not total:
-        return float("nan")
-    want = (total - 1) * percent / 100
-    out = []
-    for rank in sorted({int(np.floor(want)), int(np.ceil(want))}):
-        lo, hi, before, table = 0.0, float(first.hi.max()), 0, None
-        while True:
-            table = counts(lo, hi)
-            cum = table.n.cumsum().to_numpy()
-            at = int(np.searchsorted(cum, rank, side="right"))
-            row = table.iloc[at]
-            if row.lo == row.hi or np.nextafter(row.lo, row.hi) == row.hi:
-                out.append(row.lo if rank - (cum[at - 1] if at else 0) < row.n / 2 or row.lo == row.hi else row.hi)
-                break
-            lo, hi = np.nextafter(row.lo, -np.inf), row.hi
-        del before, table
-    return float(out[0] + (out[-1] - out[0]) * (want - np.floor(want)))
+def k_distances(rows: DataFrame, k: int, metric: str = "l1") -> DataFrame:
+    """id, k_dis: distance of the k-th nearest row, the row itself being number 0."""
+    return nearest_within(rows, k + 1, metric).filter(F.col("rank") == k + 1).select(F.col("i").alias("id"), F.col("d").alias("k_dis"))
+
+
+#: Bits of a distance that are left out of its bin in the passes of distance_percentile. Positive doubles are ordered as their bits.
+SHIFTS = (46, 26, 0)
+
+
+def distance_percentile(rows: DataFrame, percent: float, metric: str = "l1") -> float:
+    """Linearly interpolated percentile of the distances other than 0 of all ordered pairs, exact, without keeping them: three passes
+    count them per bin, a bin being the leading bits of the number (64 bins an octave, then 2^20 in each of these, then the
+    numbers themselves); only the bins that hold one of the two ranks are opened in the next pass."""
+    ranks: dict[int, tuple[int, int]] = {}  # rank -> (bin it is in, rank inside this bin)
+    want = 0.0
+    for turn, shift in enumerate(SHIFTS):
+        inside = np.unique([b for b, _ in ranks.values()])
+        above = SHIFTS[turn - 1]
+
+        def kernel(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray, shift: int = shift, inside: np.ndarray = inside, above: int = above) -> pd.DataFrame:
+            bits = d[d > 0].view(np.int64)
+            if len(inside):
+                bits = bits[np.isin(bits >> above, inside)]
+            bins, n = np.unique(bits >> shift, return_counts=True)
+            return pd.DataFrame({"bin": bins, "n": n})
+
+        found = meet_self(rows.select("id", "vec"), metric, kernel, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toPandas()  # occupied bins
+        bins, n = found.bin.to_numpy(np.int64), found.n.to_numpy(np.int64)
+        if turn == 0:
+            total = int(n.sum())
+            if not total:
+                return float("nan")
+            want = (total - 1) * percent / 100
+            ranks = {int(k): (0, int(k)) for k in (np.floor(want), np.ceil(want))}
+        fresh = {}
+        for k, (outer, rest) in ranks.items():
+            mine = np.ones(len(bins), bool) if turn == 0 else bins >> (above - shift) == outer
+            cum = np.cumsum(n[mine])
+            at = int(np.searchsorted(cum, rest, side="right"))
+            fresh[k] = int(bins[mine][at]), rest - int(cum[at - 1] if at else 0)
+        ranks = fresh
+    low, high = (float(np.int64(ranks[int(k)][0]).view(np.float64)) for k in (np.floor(want), np.ceil(want)))
+    return float(low + (high - low) * (want - np.floor(want)))

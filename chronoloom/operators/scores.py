@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators.distances import METRICS, meet, stack
+from chronoloom.operators.distances import meet_self
 
 
 def contingency(df: DataFrame, cluster: str, label: str) -> DataFrame:
@@ -94,17 +94,15 @@ def accuracy(table: DataFrame, most: int = 2_000) -> float:
 def silhouette(rows: DataFrame, metric: str = "l1") -> DataFrame:
     """id, cluster, s for rows (id, vec, cluster): mean distance to the nearest other cluster against that to its own; 0 for a
     point alone in its cluster. Distances leave a task as sums per point and cluster."""
-    f = METRICS[metric]
 
-    def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        d = f(stack(x.vec), stack(y.vec))
+    def kernel(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
         names, at = np.unique(y.cluster.to_numpy(), return_inverse=True)
         one = np.zeros((len(y), len(names)))
         one[np.arange(len(y)), at] = 1
         sums = d @ one
         return pd.DataFrame({"id": np.repeat(x.id.to_numpy(), len(names)), "other": np.tile(names, len(x)), "total": sums.ravel()})
 
-    sums = meet(rows.select("id", "vec"), rows.select("id", "vec", "cluster"), kernel, "id long, other long, total double").groupBy("id", "other").agg(F.sum("total").alias("total"))
+    sums = meet_self(rows.select("id", "vec", "cluster"), metric, kernel, "id long, other long, total double").groupBy("id", "other").agg(F.sum("total").alias("total"))
     sizes = rows.groupBy(F.col("cluster").alias("other")).agg(F.count("*").alias("n"))
     own = F.col("other") == F.col("cluster")
     per = rows.select("id", "cluster").join(sums, "id").join(sizes, "other")

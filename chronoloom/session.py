@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", memory: str = "12g", partitions: int = 8) -> SparkSession:
-    """A local session; on a cluster the caller brings its own."""
+def local_session(cores: int | str = "*", memory: str = "12g", partitions: int = 8, folder: str | None = None) -> SparkSession:
+    """A local session; on a cluster the caller brings its own. folder: for intermediate tables; by default one that is removed at
+    the end."""
+    if folder is None:
+        path = tempfile.mkdtemp(prefix="chronoloom-")
+        atexit.register(shutil.rmtree, path, True)
+        folder = f"file://{path}"
     os.environ.setdefault("OMP_NUM_THREADS", "1")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -18,6 +26,7 @@ def local_session(cores: int | str = "*", memory: str = "12g", partitions: int =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", folder)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
