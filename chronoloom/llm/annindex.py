@@ -2,13 +2,16 @@
 
 Vectors of one dataset are compared by L1 distance. Equal vectors are collapsed to one class first (its representative is the
 smallest sample_id), so that copies, however many, cost one row. Per dataset a tree is fitted on at most FIT_ROWS classes (a
-documented, bounded sample, chosen by hash); every class is then put into a leaf. The tree has at most FIT_ROWS / LEAF leaves;
-it is sent to the workers in parts of at most TREE_BYTES, one pass over the vectors per part. A leaf of more than
-LEAF_ROWS rows is cut into blocks, as are its visitors, so no task holds more than a block of either.
+documented, bounded sample, chosen by hash) and every class is put into a leaf. A leaf that then holds more than LEAF_ROWS is
+split by a tree of its own, fitted on an executor, and so on until all leaves are small: the number of leaves grows with the rows,
+the rows of a leaf do not. Trees are sent to the workers in parts of at most TREE_BYTES (one dataset's at least), one pass over
+the vectors per part; they hold about 1 / LEAF of the numbers of the vectors.
 
-Search: a traversal takes nodes from a priority queue, nearest centre first, and yields leaves in that order. How many leaves
-are visited is calibrated per dataset: CALIBRATE vectors are compared with all rows, and visits are doubled until their recall
-reaches RECALL. A leaf that by its centre and radius cannot hold anything within the cap is passed over.
+Search: every vector first meets the others of its own leaf, which bounds the distance of its k-th neighbour. A traversal then
+takes nodes from a priority queue, nearest centre first, passes over what by centre and radius can hold nothing within that
+bound, and yields leaves until a number of rows was visited that is calibrated per dataset: CALIBRATE vectors are compared with
+all rows, and the visited rows are doubled until their recall reaches RECALL. Visitors of a leaf are cut into parts of VISITORS
+by their number, and a leaf that could not be split into blocks of LEAF_ROWS, so no task holds more than a part and a block.
 
 Defined results: a vector that is null, of another length than emb_len, or holds NaN or null is not usable, and neither is one
 of a dataset without parameters; of repeated sample_ids the latest usable row counts; ties go to the smaller sample_id; a
@@ -17,19 +20,19 @@ dataset with one vector has no neighbours; empty tables give empty results.
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.storage import materialize
+from chronoloom.operators.distances import l1, meet
+from chronoloom.storage import materialize, release
 
-FIT_ROWS, LEAF, BRANCH, LEAF_ROWS, TREE_BYTES = 32_768, 64, 8, 4_096, 128 << 20
-CALIBRATE, RECALL = 64, 0.995
+FIT_ROWS, LEAF, BRANCH, LEAF_ROWS, TREE_BYTES, VISITORS = 32_768, 128, 8, 1_024, 128 << 20, 8_192
+CALIBRATE, RECALL = 128, 0.999
 
 
 def usable_vectors(ctrans: DataFrame, hyper: DataFrame) -> DataFrame:
@@ -42,15 +45,6 @@ def usable_vectors(ctrans: DataFrame, hyper: DataFrame) -> DataFrame:
     return good.groupBy("sample_id").agg(F.max_by(F.struct(*cols), F.struct("computed_at")).alias("r")).select("sample_id", "r.*")
 
 
-def l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of all rows of a to all rows of b, in blocks of bounded memory."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, 2_000_000 // max(1, b.size))
-    for k in range(0, len(a), step):
-        out[k : k + step] = np.abs(a[k : k + step, None, :] - b[None, :, :]).sum(2)
-    return out
-
-
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     """Label of each row; medians as centres would suit L1, means are as good a partition and cheaper."""
     centre = x[[rng.integers(len(x))]]
@@ -71,13 +65,13 @@ class Tree:
     """Nodes of one dataset in arrays: centre of each node, children (-1 filled), leaf number (-1: inner node). radius, rows: of
     each leaf, once all rows are in."""
 
-    def __init__(self, x: np.ndarray, seed: int = 1) -> None:
+    def __init__(self, x: np.ndarray, seed: int = 1, most: int = LEAF) -> None:
         rng = np.random.default_rng(seed)
         centre, kids, leaf, todo = [x.mean(0)], [[]], [-1], [(0, np.arange(len(x)))]
         leaves = 0
         while todo:
             node, rows = todo.pop()
-            label = k_means(x[rows], min(BRANCH, -(-len(rows) // LEAF) * 2), rng) if len(rows) > LEAF else None
+            label = k_means(x[rows], min(BRANCH, -(-len(rows) // most) * 2), rng) if len(rows) > most else None
             if label is None or (label == label[0]).all():
                 leaf[node], leaves = leaves, leaves + 1
                 continue
@@ -92,11 +86,27 @@ class Tree:
         self.kids = np.full((len(kids), BRANCH), -1)
         for i, k in enumerate(kids):
             self.kids[i, : len(k)] = k
-        self.node_of = np.empty(leaves, int)
+        self._settled()
+
+    def _settled(self) -> None:
+        self.node_of = np.empty(self.leaves, int)
         self.node_of[self.leaf[self.leaf >= 0]] = np.flatnonzero(self.leaf >= 0)
-        self.radius, self.rows = np.zeros(leaves), np.zeros(leaves, np.int64)
+        self.radius, self.rows = np.zeros(self.leaves), np.zeros(self.leaves, np.int64)
         self.reach = np.full(len(self.leaf), np.inf)
 
+    def graft(self, leaf: int, sub: "Tree") -> None:
+        """Put a tree in the place of a leaf: its first leaf takes the leaf's number, its others new ones."""
+        at, n = int(self.node_of[leaf]), len(self.leaf)
+        number = np.where(sub.leaf < 0, -1, np.where(sub.leaf == 0, leaf, self.leaves + sub.leaf - 1))
+        kids = np.where(sub.kids < 0, -1, sub.kids + n - 1)
+        self.kids = np.vstack([self.kids, kids[1:]])
+        self.kids[at] = kids[0]
+        self.leaf = np.concatenate([self.leaf, number[1:]])
+        self.leaf[at] = number[0]
+        self.centre = np.vstack([self.centre, sub.centre[1:]])
+        self.leaves += sub.leaves - 1
+        self._settled()
+
     def measured(self) -> None:
         """How far from each node's centre its rows can lie, from the leaves upwards (children have larger numbers)."""
         self.reach = np.full(len(self.leaf), -np.inf)
@@ -118,28 +128,44 @@ class Tree:
             at[rows] = kids[np.arange(len(rows)), d.argmin(1)]
         return self.leaf[at], np.abs(self.centre[at] - x).sum(1)
 
-    def visits(self, q: np.ndarray, most: int, within: float = np.inf, skip: np.ndarray | None = None) -> list[int]:
-        """The first leaves in best-bin-first order, without those that are empty, to be skipped, or too far to hold anything
-        within the given distance."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
-            _, node = heapq.heappop(queue)
-            n = self.leaf[node]
-            if n >= 0:
-                if skip is None or not skip[n]:
-                    out.append(int(n))
-                continue
-            kids = self.kids[node]
-            kids = kids[kids >= 0]
-            far = np.abs(self.centre[kids] - q).sum(1)
-            ok = far - self.reach[kids] <= within
-            for item in zip(far[ok].tolist(), kids[ok].tolist(), strict=True):
-                heapq.heappush(queue, item)
-        return out
+    def visits(self, q: np.ndarray, most: float, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of q, leaf) in best-bin-first order of each row, until the leaves hold `most` rows; without nodes that by their
+        centre and reach can hold nothing within the row's distance. Every row has a priority queue of its own (a line of `key`
+        and `node`); one step takes the nearest node of all queues at once."""
+        n = len(q)
+        key, node = np.zeros((n, 1)), np.zeros((n, 1), np.int32)
+        live, seen = np.arange(n), np.zeros(n)
+        rows, leaves = [], []
+        while len(live):
+            at = key.argmin(1)
+            line = np.arange(len(live))
+            near, top = key[line, at], node[line, at]
+            key[line, at] = np.inf
+            leaf = self.leaf[top]
+            hit = (leaf >= 0) & np.isfinite(near)
+            rows.append(live[hit])
+            leaves.append(leaf[hit])
+            seen[live[hit]] += self.rows[leaf[hit]]
+            inner = np.flatnonzero((leaf < 0) & np.isfinite(near))
+            if len(inner):
+                kids = self.kids[top[inner]]
+                far = np.abs(self.centre[kids] - q[live[inner], None, :]).sum(2)
+                far[(kids < 0) | (far - self.reach[kids] > within[live[inner], None])] = np.inf
+                new_key, new_node = np.full((len(live), BRANCH), np.inf), np.zeros((len(live), BRANCH), np.int32)
+                new_key[inner], new_node[inner] = far, kids
+                key, node = np.hstack([key, new_key]), np.hstack([node, new_node])
+            keep = (seen[live] < most) & np.isfinite(near)
+            if not keep.all():
+                live, key, node = live[keep], key[keep], node[keep]
+            if key.shape[1] > 64 and len(live):  # drop places that no queue uses any more
+                used = max(int(np.isfinite(key).sum(1).max()), 1)
+                if used < key.shape[1] // 2:
+                    order = np.argsort(key, axis=1)[:, :used]
+                    key, node = np.take_along_axis(key, order, 1), np.take_along_axis(node, order, 1)
+        return np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(leaves) if leaves else np.zeros(0, int)
 
     def near_leaves(self, q: np.ndarray, within: np.ndarray) -> np.ndarray:
-        """Boolean, rows of q x leaves: those that may hold something within the distance."""
-        # A bound of the leaf's rows, by the triangle inequality.
+        """Boolean, rows of q x leaves: those that may hold something within the distance, by the triangle inequality."""
         return (l1(q, self.centre[self.node_of]) - self.radius[None, :] <= within[:, None]) & (self.rows > 0)[None, :]
 
 
@@ -147,38 +173,66 @@ def stacked(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
 
 
+def _chance(n: Column, wanted: int) -> Column:
+    """Whether a row (by a hash of cid) is among about `wanted` of n."""
+    return F.pmod(F.xxhash64("cid", F.lit(5)), F.lit(1 << 40)) < F.least(F.lit(1.0), F.lit(0.97 * wanted) / n) * float(1 << 40)
+
+
+def _fitted(some: DataFrame, keys: list[str], most: int) -> list:
+    """Rows of keys and the pickled tree fitted on each group; the groups are bounded samples."""
+
+    def fit(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("cid")
+        return pd.DataFrame({**{k: [f[k].iloc[0]] for k in keys}, "tree": [pickle.dumps(Tree(stacked(f.vec), most=most))]})
+
+    schema = ", ".join(f"{k} {t}" for k, t in some.dtypes if k in keys) + ", tree binary"
+    return some.select(*keys, *(c for c in ("cid", "vec") if c not in keys)).groupBy(*keys).applyInPandas(fit, schema).collect()
+
+
 class Index:
     """Classes of equal vectors, their members, and the tree of each dataset with all classes in its leaves."""
 
-    def __init__(self, vectors: DataFrame, fit_rows: int = FIT_ROWS) -> None:
-        self.spark = vectors.sparkSession
+    def __init__(self, vectors: DataFrame, fit_rows: int = FIT_ROWS, leaf_rows: int = LEAF_ROWS, leaf: int = LEAF) -> None:
+        self.spark, self.leaf_rows, self.leaf = vectors.sparkSession, leaf_rows, leaf
         self.vectors = materialize(vectors, "vectors")
-        params = [c for c in self.vectors.columns if c not in ("sample_id", "vec", "dataset")]
-        classes = materialize(self.vectors.groupBy("dataset", "vec").agg(F.min("sample_id").alias("cid"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in params)), "classes")
-        counts = {r[0]: r[1] for r in classes.groupBy("dataset").count().collect()}  # one row per dataset: its classes, not its copies
-        self.trees = self._fit(classes, counts, fit_rows)
-        self.params = params
-        self.rows = materialize(self._put(classes), "leaves")
-        self._measure()
+        self.params = [c for c in self.vectors.columns if c not in ("sample_id", "vec", "dataset")]
+        classes = materialize(self.vectors.groupBy("dataset", "vec").agg(F.min("sample_id").alias("cid"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in self.params)), "classes")
+        size = classes.groupBy("dataset").agg(F.count("*").alias("_size"))  # one row per dataset: its classes, not its copies
+        some = classes.join(size, "dataset").filter(_chance(F.col("_size"), fit_rows))
+        self.trees = {r.dataset: pickle.loads(r.tree) for r in _fitted(some, ["dataset"], leaf)}  # noqa: S301
+        if lacking := [r.dataset for r in size.select("dataset").collect() if r.dataset not in self.trees]:
+            raise RuntimeError(f"no tree was fitted for {lacking[:5]}, whose rows would be lost")
+        self.rows = self._refined(classes, fit_rows)
+        release(classes)
 
     def members(self) -> DataFrame:
         """sample_id, cid for every vector."""
         return self.vectors.select("sample_id", "dataset", "vec").join(self.rows.select("dataset", "vec", "cid"), ["dataset", "vec"]).select("sample_id", "cid")
 
-    @staticmethod
-    def _fit(classes: DataFrame, counts: dict[str, int], fit_rows: int) -> dict[str, Tree]:
-        def fit(f: pd.DataFrame) -> pd.DataFrame:
-            f = f.sort_values("cid")
-            return pd.DataFrame({"dataset": [f.dataset.iloc[0]], "tree": [pickle.dumps(Tree(stacked(f.vec)))]})
-
-        share = F.lit(1.0)
-        for name, n in counts.items():
-            share = F.when(F.col("dataset") == name, F.lit(min(1.0, 0.97 * fit_rows / n))).otherwise(share)
-        some = classes.filter(F.pmod(F.xxhash64("cid"), F.lit(1 << 40)) < share * float(1 << 40)).select("dataset", "cid", "vec")
-        found = {r.dataset: pickle.loads(r.tree) for r in some.groupBy("dataset").applyInPandas(fit, "dataset string, tree binary").collect()}  # noqa: S301
-        if lacking := sorted(counts.keys() - found.keys()):
-            raise RuntimeError(f"no tree was fitted for {lacking[:5]}, whose rows would be lost")
-        return found
+    def _refined(self, classes: DataFrame, fit_rows: int) -> DataFrame:
+        """All classes in leaves of at most leaf_rows: leaves with more are split by trees of their own until none can be split."""
+        whole: set[tuple[str, int]] = set()  # leaves that a tree of their own did not split
+        while True:
+            rows = materialize(self._put(classes), "leaves")
+            self.leaves = rows.groupBy("dataset", "leaf").agg(F.max("gap").alias("r"), F.count("*").alias("n")).toPandas()  # the leaves: rows / LEAF
+            big = self.leaves[self.leaves.n > self.leaf_rows]
+            big = big[[(d, k) not in whole for d, k in zip(big.dataset, big.leaf, strict=True)]]
+            if big.empty:
+                break
+            crowd = self.spark.createDataFrame(big[["dataset", "leaf", "n"]].rename(columns={"n": "_size"}))
+            some = rows.join(crowd, ["dataset", "leaf"]).filter(_chance(F.col("_size"), fit_rows))
+            whole |= set(zip(big.dataset, big.leaf, strict=True))
+            for r in _fitted(some, ["dataset", "leaf"], self.leaf):
+                sub = pickle.loads(r.tree)  # noqa: S301
+                if sub.leaves > 1:
+                    self.trees[r.dataset].graft(r.leaf, sub)
+                    whole.discard((r.dataset, r.leaf))
+            release(rows)
+        for d, g in self.leaves.groupby("dataset"):
+            t = self.trees[d]
+            t.radius[g.leaf], t.rows[g.leaf] = g.r * (1 + 1e-12) + 1e-300, g.n
+            t.measured()
+        return rows
 
     def parts(self) -> Iterator[dict[str, Tree]]:
         """The trees in parts that are small enough to be broadcast."""
@@ -195,15 +249,17 @@ class Index:
     def over_trees(self, df: DataFrame, kernel, schema: str) -> DataFrame:
         """df through kernel(frame, tree of its dataset) for each dataset of each batch, one pass per part of the trees."""
         out = None
-        for part in self.parts():
+        parts = list(self.parts())
+        for part in parts:
             sent = self.spark.sparkContext.broadcast(part)
 
             def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
                 for f in frames:
                     for name, g in f.groupby("dataset", sort=False):
-                        yield kernel(g, sent.value[name])
+                        if name in sent.value:
+                            yield kernel(g, sent.value[name])
 
-            one = df.filter(F.col("dataset").isin(*part)).mapInPandas(run, schema)
+            one = df.mapInPandas(run, schema)
             out = one if out is None else out.unionByName(one)
         return df.filter("false").mapInPandas(lambda frames: iter(()), schema) if out is None else out
 
@@ -215,21 +271,23 @@ class Index:
         schema = ", ".join(f"{c} {t}" for c, t in classes.dtypes) + ", leaf int, gap double"
         return self.over_trees(classes, put, schema)
 
-    def _measure(self) -> None:
-        """Radius and rows of every leaf, over all rows."""
-        for r in self.rows.groupBy("dataset", "leaf").agg(F.max("gap").alias("r"), F.count("*").alias("n")).collect():  # at most the leaves
-            self.trees[r.dataset].radius[r.leaf], self.trees[r.dataset].rows[r.leaf] = r.r * (1 + 1e-12) + 1e-300, r.n
-        for tree in self.trees.values():
-            tree.measured()
-
-    def calibrate(self, recall: float = RECALL, queries: int = CALIBRATE) -> dict[str, int]:
-        """Leaves to visit per dataset: the least power of two at which the calibration vectors reach the recall. Their true
-        neighbours come from all rows; what is farther than the cap is not counted."""
-        per = {r[0]: r[1] for r in self.rows.groupBy("dataset").count().collect()}
-        share = F.lit(1.0)
-        for name, n in per.items():
-            share = F.when(F.col("dataset") == name, F.lit(min(1.0, queries / n))).otherwise(share)
-        chosen = self.rows.filter(F.pmod(F.xxhash64("cid", F.lit(5)), F.lit(1 << 40)) < share * float(1 << 40)).select("dataset", "cid", "vec", "k_nearest", "k_dis_high").toPandas()  # about `queries` per dataset
+    def sizes(self) -> DataFrame:
+        """dataset, leaf, cuts: blocks of each leaf."""
+        return self.rows.groupBy("dataset", "leaf").agg(F.ceil(F.count("*") / self.leaf_rows).alias("cuts"))
+
+    def leaves_table(self) -> DataFrame:
+        """dataset, leaf: all leaves with rows."""
+        return self.rows.select("dataset", "leaf").distinct()
+
+    def blocked(self, df: DataFrame) -> DataFrame:
+        """df (cid, dataset, leaf, ...) with the block of its leaf that a row is in."""
+        return df.join(self.sizes(), ["dataset", "leaf"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("cuts"))).drop("cuts")
+
+    def calibrate(self, recall: float = RECALL, queries: int = CALIBRATE) -> dict[str, float]:
+        """Rows to visit per dataset: the least of LEAF, 2 LEAF, 4 LEAF ... at which the calibration vectors reach the recall. Their
+        true neighbours come from all rows; what is farther than the cap is not counted."""
+        size = self.rows.groupBy("dataset").agg(F.count("*").alias("_size"))
+        chosen = self.rows.join(size, "dataset").filter(_chance(F.col("_size"), queries)).select("dataset", "cid", "vec", "k_nearest", "k_dis_high").toPandas()  # about `queries` per dataset
         ask = {name: (g.cid.to_numpy(), stacked(g.vec), int(g.k_nearest.iloc[0]), float(g.k_dis_high.iloc[0])) for name, g in chosen.groupby("dataset")}
         sent = self.spark.sparkContext.broadcast(ask)
 
@@ -243,8 +301,7 @@ class Index:
                     d[cid[:, None] == g.cid.to_numpy()[None, :]] = np.inf
                     near = np.argsort(d, axis=1, kind="stable")[:, :k]
                     dist = np.take_along_axis(d, near, 1)
-                    keep = dist <= cap
-                    i, j = np.nonzero(keep)
+                    i, j = np.nonzero(dist <= cap)
                     yield pd.DataFrame({"dataset": name, "cid": cid[i], "leaf": g.leaf.to_numpy()[near[i, j]], "d": dist[i, j], "k": k})
 
         true = self.rows.select("dataset", "cid", "vec", "leaf").mapInPandas(partial, "dataset string, cid long, leaf int, d double, k int")
@@ -252,89 +309,123 @@ class Index:
         true = true.withColumn("rank", rank).filter("rank <= k").toPandas()  # k rows per calibration vector
         budget = {}
         for name, tree in self.trees.items():
-            cid, q, _, _ = ask.get(name, (np.zeros(0), None, 0, 0))
-            where = {c: {leaf: n for n, leaf in enumerate(tree.visits(q[i], tree.leaves))} for i, c in enumerate(cid)}
-            need = np.array([where[c][leaf] + 1 for c, leaf in zip(*(true[true.dataset == name][x] for x in ("cid", "leaf")), strict=True)])
-            visit = 2
-            while visit < tree.leaves and len(need) and (need <= visit).mean() < recall:
-                visit *= 2
+            visit, total = float(LEAF), float(tree.rows.sum())
+            if name in ask:
+                cid, q, _, _ = ask[name]
+                mine = true[true.dataset == name]
+                row, leaf = tree.visits(q, np.inf, np.full(len(q), np.inf))
+                order = np.argsort(row, kind="stable")
+                row, leaf = row[order], leaf[order]
+                cum = np.cumsum(tree.rows[leaf])
+                before = cum - tree.rows[leaf] - np.concatenate([[0], cum])[np.searchsorted(row, row)]  # rows seen by this row of q before the leaf
+                place = {(int(r), int(k)): b for r, k, b in zip(row, leaf, before, strict=True)}
+                number = {c: i for i, c in enumerate(cid)}
+                need = np.array([place[number[c], k] for c, k in zip(mine.cid, mine.leaf, strict=True)])
+                while visit < total and len(need) and (need < visit).mean() < recall:
+                    visit *= 2
             budget[name] = 2 * visit  # a margin of one widening over what the calibration vectors needed
         return budget
 
-    def visiting(self, df: DataFrame, budget: dict[str, int] | None, cap: str, skip: dict[str, np.ndarray] | None = None) -> DataFrame:
-        """Each row of df (cid, dataset, vec, cap, comp) with each leaf block it visits. budget None: every leaf within the cap,
-        but for leaves that hold nothing but one component (skip: component of each leaf or -1), if it is the row's own."""
+    def visiting(self, df: DataFrame, budget: dict[str, float] | None, cap: str, skip: dict[str, np.ndarray] | None = None) -> DataFrame:
+        """Each row of df (cid, dataset, vec, cap, ...) with each leaf it visits, written once. With a budget the row's own leaf
+        (column leaf) is left out, but for a leaf of several blocks. budget None: every leaf within the cap, but for leaves that
+        hold nothing but one component (skip: component of each leaf or -1), if it is the row's own (column comp)."""
+        big = self.leaf_rows
 
         def visit(g: pd.DataFrame, tree: Tree) -> pd.DataFrame:
-            q, within = stacked(g.vec), g[cap].to_numpy(float)
-            name = g.dataset.iloc[0]
+            q, within, name = stacked(g.vec), g[cap].to_numpy(float), g.dataset.iloc[0]
             if budget is None:
                 near = tree.near_leaves(q, within)
                 if skip is not None:
                     near &= skip[name][None, :] != g.comp.to_numpy()[:, None]
                 row, leaf = np.nonzero(near)
             else:
-                lists = [tree.visits(x, budget[name], w) for x, w in zip(q, within, strict=True)]
-                row, leaf = np.repeat(np.arange(len(q)), [len(x) for x in lists]), np.array([n for x in lists for n in x], int)
-            blocks = -(-tree.rows[leaf] // LEAF_ROWS)
-            row, leaf = np.repeat(row, blocks), np.repeat(leaf, blocks)
-            start = np.cumsum(blocks) - blocks
-            block = np.arange(len(row)) - np.repeat(start, blocks)
-            out = g.iloc[row].assign(leaf=leaf.astype(np.int32), block=block.astype(np.int32))
-            return out.assign(part=(out.cid % np.maximum(1, blocks.repeat(blocks))).astype(np.int32))
-
-        schema = ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", leaf int, block int, part int"
-        return self.over_trees(df, visit, schema)
-
-    def blocks(self, df: DataFrame) -> DataFrame:
-        """Rows with leaf in blocks of about LEAF_ROWS, each block once for every part of its visitors."""
-
-        def cut(g: pd.DataFrame, tree: Tree) -> pd.DataFrame:
-            n = -(-tree.rows[g.leaf.to_numpy()] // LEAF_ROWS)
-            out = g.iloc[np.repeat(np.arange(len(g)), n)]
-            start = np.cumsum(n) - n
-            block = (g.cid.to_numpy() // 7919 % np.maximum(n, 1)).repeat(n)
-            return out.assign(block=block.astype(np.int32), part=(np.arange(len(out)) - np.repeat(start, n)).astype(np.int32))
-
-        schema = ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", block int, part int"
-        return self.over_trees(df, cut, schema)
-
-    def nearest(self, budget: dict[str, int], extra: int = 1) -> DataFrame:
-        """cid, near: for each class its k_nearest + extra nearest classes within the cap (itself among them), as sorted structs
-        of d and cid."""
-        schema = "cid long, d double, near long"
-
-        def search(_, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(r):
-                return pd.DataFrame({"cid": [], "d": [], "near": []}).astype({"cid": "int64", "near": "int64"})
+                row, leaf = tree.visits(q, budget[name], within)
+                other = (leaf != g.leaf.to_numpy()[row]) | (tree.rows[leaf] > big)
+                row, leaf = row[other], leaf[other]
+            return g.iloc[row].assign(leaf=leaf.astype(np.int32))
+
+        schema = ", ".join(f"{c} {t}" for c, t in df.dtypes if c != "leaf") + ", leaf int"
+        return materialize(self.over_trees(df, lambda g, t: visit(g, t)[[c.split()[0] for c in schema.split(", ")]], schema), "visits")
+
+    def meeting(self, visits: DataFrame, hold: DataFrame, kernel, schema: str) -> DataFrame:
+        """kernel(visitors, rows) for each part of the visitors of a leaf and each block of its rows (hold: cid, dataset, leaf, vec, ...)."""
+        keys = ["dataset", "leaf", "block", "part"]
+        load = visits.groupBy("dataset", "leaf").agg(F.ceil(F.count("*") / VISITORS).alias("parts")).join(self.sizes(), ["dataset", "leaf"])
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        ask = visits.join(load, ["dataset", "leaf"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts"))).withColumn("block", every("cuts")).drop("parts", "cuts")
+        held = hold.join(load, ["dataset", "leaf"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("cuts"))).withColumn("part", every("parts")).drop("parts", "cuts")
+        names = held.columns
+        held = held.toDF(*(f"r_{c}" for c in names))
+        columns = [c.split()[0] for c in schema.split(", ")]
+
+        def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            r.columns = names
+            return kernel(q, r) if len(q) and len(r) else pd.DataFrame({c: [] for c in columns})
+
+        return ask.groupBy(*keys).cogroup(held.groupBy(*(f"r_{c}" for c in keys))).applyInPandas(run, schema)
+
+    def own_leaf(self, degree: str, cap: str, *others: str) -> DataFrame:
+        """cid, dataset, vec, leaf, bound and others of each class, with near: its nearest `degree` (a column) classes within the cap
+        in its own leaf block, itself among them, as structs of d and cid; bound: the distance of the last of them, or the cap."""
+        cols = ["cid", "dataset", "vec", "leaf", *others]
+        types = dict(self.rows.dtypes)
+        schema = ", ".join(f"{c} {types[c]}" for c in cols) + ", bound double, gaps array<double>, ids array<bigint>"
+
+        def kernel(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values("cid")
+            x, ids, limit = stacked(g.vec), g.cid.to_numpy(), g[cap].to_numpy(float)
+            k, gaps, who = int(g._degree.iloc[0]), [], []
+            for a in range(0, len(g), 1024):
+                d = l1(x[a : a + 1024], x)
+                at = np.argsort(d, axis=1, kind="stable")[:, :k]
+                gaps.append(np.take_along_axis(d, at, 1))
+                who.append(ids[at])
+            gaps, who = np.concatenate(gaps), np.concatenate(who)
+            last = gaps[:, -1] if gaps.shape[1] == k else np.full(len(g), np.inf)
+            n = (gaps <= limit[:, None]).sum(1)
+            return g[cols].assign(bound=np.minimum(last, limit), gaps=[r[:m] for r, m in zip(gaps, n, strict=True)], ids=[r[:m] for r, m in zip(who, n, strict=True)])
+
+        cut = self.blocked(self.rows.select(*dict.fromkeys([*cols, cap]), F.expr(degree).cast("int").alias("_degree")))
+        done = cut.groupBy("dataset", "leaf", "block").applyInPandas(kernel, schema)
+        near = F.zip_with("gaps", "ids", lambda d, c: F.struct(d.alias("d"), c.alias("near")))
+        return materialize(done.withColumn("near", near).drop("gaps", "ids"), "own")
+
+    def nearest(self, budget: dict[str, float]) -> DataFrame:
+        """cid, near: for each class its k_nearest + 1 nearest classes within the cap (itself among them), as sorted structs of d and
+        cid."""
+        own = self.own_leaf("k_nearest + 1", "k_dis_high", "k_nearest")
+
+        def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
             r = r.sort_values("cid")
-            k = int(q.k_nearest.iloc[0]) + extra
+            k = int(q.k_nearest.iloc[0]) + 1
             x, ids, parts = stacked(r.vec), r.cid.to_numpy(), []
             for a in range(0, len(q), 1024):
                 part = q.iloc[a : a + 1024]
                 d = l1(stacked(part.vec), x)
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                dist = np.take_along_axis(d, near, 1)
-                i, j = np.nonzero(dist <= part.k_dis_high.to_numpy()[:, None])
-                parts.append(pd.DataFrame({"cid": part.cid.to_numpy()[i], "d": dist[i, j], "near": ids[near[i, j]]}))
+                d[(d > part.bound.to_numpy()[:, None]) | (part.cid.to_numpy()[:, None] == ids[None, :])] = np.inf
+                rows = np.flatnonzero(np.isfinite(d).any(1))
+                near = np.argsort(d[rows], axis=1, kind="stable")[:, :k]
+                dist = np.take_along_axis(d[rows], near, 1)
+                i, j = np.nonzero(np.isfinite(dist))
+                parts.append(pd.DataFrame({"cid": part.cid.to_numpy()[rows[i]], "d": dist[i, j], "near": ids[near[i, j]]}))
             return pd.concat(parts)
 
-        keys = ["dataset", "leaf", "block", "part"]
-        ask = self.visiting(self.rows.select("cid", "dataset", "vec", "k_nearest", "k_dis_high"), budget, "k_dis_high")
-        hold = self.blocks(self.rows.select("cid", "dataset", "vec", "leaf"))
-        found = ask.groupBy(*keys).cogroup(hold.groupBy(*keys)).applyInPandas(search, schema)
-        most = F.first("k_nearest") + extra
-        lists = found.join(self.rows.select("cid", "k_nearest"), "cid").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("d", "near"))).alias("all"), most.alias("k"))
-        return lists.select("cid", F.slice("all", F.lit(1), F.col("k")).alias("near"))
+        visits = self.visiting(own.select("cid", "dataset", "vec", "leaf", "bound", "k_nearest"), budget, "bound")
+        more = self.meeting(visits, self.rows.select("cid", "dataset", "leaf", "vec"), search, "cid long, d double, near long")
+        lists = more.groupBy("cid").agg(F.collect_list(F.struct("d", "near")).alias("more"))  # at most the visits of one class times k
+        both = own.select("cid", "near", "k_nearest").join(lists, "cid", "left")
+        every = F.array_sort(F.array_distinct(F.concat("near", F.coalesce("more", F.array().cast("array<struct<d: double, near: bigint>>")))))
+        return both.select("cid", F.slice(every, F.lit(1), F.col("k_nearest") + 1).alias("near"))
 
 
-def neighbours(ctrans: DataFrame, hyper: DataFrame, budget: dict[str, int] | None = None) -> DataFrame:
+def neighbours(ctrans: DataFrame, hyper: DataFrame, budget: dict[str, float] | None = None) -> DataFrame:
     """sample_id, dataset, rank, near_id, d: the k_nearest nearest samples within the dataset's cap of every usable sample."""
     index = Index(usable_vectors(ctrans, hyper))
     return index_neighbours(index, budget or index.calibrate())
 
 
-def index_neighbours(index: Index, budget: dict[str, int]) -> DataFrame:
+def index_neighbours(index: Index, budget: dict[str, float]) -> DataFrame:
     lists = materialize(index.nearest(budget), "lists")
     members = materialize(index.members(), "members")
     most = index.rows.agg(F.max("k_nearest")).first()[0] or 0
@@ -354,25 +445,20 @@ def neighbour_pairs(near: DataFrame) -> DataFrame:
 
 def measured_recall(index: Index, near: DataFrame, every: int = 20) -> DataFrame:
     """Recall per dataset: the rows whose sample_id is divisible by `every`, against all rows, by brute force in blocks."""
-    ask = index.vectors.filter(F.col("sample_id") % every == 0).select("sample_id", "dataset", "vec", "k_nearest", "k_dis_high")
-    cut = lambda df, n: df.withColumn("cut", F.pmod(F.xxhash64("sample_id"), F.lit(n)))
-    left = cut(ask, 4).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    right = cut(index.vectors.select("sample_id", "dataset", "vec"), 8).withColumnRenamed("cut", "other").withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(3))))
-
-    def brute(_, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"sample_id": [], "near_id": [], "d": [], "k": []}).astype({"sample_id": "int64", "near_id": "int64", "k": "int64"})
-        r = r.sort_values("sample_id")
+    rows = index.vectors.withColumnRenamed("sample_id", "id")
+    ask = rows.filter(F.col("id") % every == 0).select("id", "dataset", "vec", "k_nearest", "k_dis_high")
+
+    def brute(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        r = r.sort_values("id")
         d = l1(stacked(q.vec), stacked(r.vec))
-        d[q.sample_id.to_numpy()[:, None] == r.sample_id.to_numpy()[None, :]] = np.inf
+        d[(q.id.to_numpy()[:, None] == r.id.to_numpy()[None, :]) | (d > q.k_dis_high.to_numpy()[:, None])] = np.inf
         k = int(q.k_nearest.iloc[0])
         near = np.argsort(d, axis=1, kind="stable")[:, :k]
         dist = np.take_along_axis(d, near, 1)
-        i, j = np.nonzero(dist <= q.k_dis_high.to_numpy()[:, None])
-        return pd.DataFrame({"sample_id": q.sample_id.to_numpy()[i], "near_id": r.sample_id.to_numpy()[near[i, j]], "d": dist[i, j], "k": k})
+        i, j = np.nonzero(np.isfinite(dist))
+        return pd.DataFrame({"sample_id": q.id.to_numpy()[i], "near_id": r.id.to_numpy()[near[i, j]], "d": dist[i, j], "k": k})
 
-    keys = ["dataset", "cut", "other"]
-    all_near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(brute, "sample_id long, near_id long, d double, k long")
+    all_near = meet(ask, rows.select("id", "dataset", "vec"), brute, "sample_id long, near_id long, d double, k long", ["dataset"])
     true = all_near.withColumn("rank", F.row_number().over(Window.partitionBy("sample_id").orderBy("d", "near_id"))).filter("rank <= k")
     hit = near.select("sample_id", "near_id", F.lit(1).alias("hit"), "dataset")
     names = index.vectors.select("sample_id", F.col("dataset").alias("dataset"))

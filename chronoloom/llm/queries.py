@@ -32,6 +32,11 @@ def p3_described(spark: SparkSession, d: str) -> DataFrame:
     return communities.Clusters(table(spark, d, "ctrans"), table(spark, d, "hyper_parameters")).described()
 
 
+def p3_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Modularity of the communities and recall of the graph, per dataset."""
+    return communities.Clusters(table(spark, d, "ctrans"), table(spark, d, "hyper_parameters")).quality()
+
+
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     return overlap.split_overlaps(table(spark, d, "samples"), table(spark, d, "channels"))
 
@@ -99,7 +104,7 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return looks.canonical_texts(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "canonical", F.coalesce(F.col("canonical") != F.col("text"), F.lit(False)).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_recall, p3_found, p3_described, p5_found, p5_report, p7_found, p7_report, p7_drawn, p8_found, p8_leaks, p9_found, p9_report, p9_tokenized, p9_mixed, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_recall, p3_found, p3_described, p3_quality, p5_found, p5_report, p7_found, p7_report, p7_drawn, p8_found, p8_leaks, p9_found, p9_report, p9_tokenized, p9_mixed, p10_found, p10_canonical)}
 
 USABLE_SQL = """
 usable AS (SELECT DISTINCT ON (c.sample_id) c.sample_id, c.dataset, c.c_trans AS v, h.k_nearest, h.k_dis_high, h.eps, h.min_samples
