@@ -49,6 +49,11 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "samples"), _overlaps(spark, d))
 
 
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the index against comparing each with each, for stated and for disturbed records."""
+    return overlap.measured_recall(table(spark, d, "samples"), table(spark, d, "channels"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -104,7 +109,7 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return looks.canonical_texts(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "canonical", F.coalesce(F.col("canonical") != F.col("text"), F.lit(False)).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_recall, p3_found, p3_described, p3_quality, p5_found, p5_report, p7_found, p7_report, p7_drawn, p8_found, p8_leaks, p9_found, p9_report, p9_tokenized, p9_mixed, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_recall, p3_found, p3_described, p3_quality, p5_found, p5_report, p5_recall, p7_found, p7_report, p7_drawn, p8_found, p8_leaks, p9_found, p9_report, p9_tokenized, p9_mixed, p10_found, p10_canonical)}
 
 USABLE_SQL = """
 usable AS (SELECT DISTINCT ON (c.sample_id) c.sample_id, c.dataset, c.c_trans AS v, h.k_nearest, h.k_dis_high, h.eps, h.min_samples
