@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from chronoloom.operators.distances import l1, meet
 from chronoloom.storage import materialize, release
 
-FIT_ROWS, LEAF, BRANCH, LEAF_ROWS, TREE_BYTES, VISITORS = 32_768, 128, 8, 1_024, 128 << 20, 8_192
+FIT_ROWS, LEAF, BRANCH, LEAF_ROWS, TREE_BYTES, VISITORS = 32_768, 320, 8, 1_024, 128 << 20, 8_192
 CALIBRATE, RECALL = 128, 0.999
 
 
