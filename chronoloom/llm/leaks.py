@@ -4,13 +4,14 @@ Texts are brought to one form and cut into words. Documents are tiled into passa
 hold a whole tile (2 * PASSAGE - 1 = RUN). Items are cut into all their windows of PASSAGE words. TF-IDF counts passages of the whole corpus;
 the terms are those of the items, since a passage can match in no other. A randomised SVD, distributed as sums over passages,
 gives each term a place in a latent space; a passage is the sum of its terms.
-Windows of the items are grouped around centres, each tile is compared, by cosine, with the windows of its nearest centre. A
-tile that equals a window has the same vector, so the same centre and cosine 1: no run of 13 words can be missed by the search.
+Windows of the items are grouped around centres, each tile is compared, by cosine, with the windows of its nearest centres (all that
+are within TIE of the nearest, more than rounding can part equal vectors). A tile that equals a window has the same vector, so one of these
+centres and cosine 1: no run of 13 words can be missed by the search.
 For paraphrases it is compared with the windows of every centre that may hold one near enough.
 Candidates are then checked: the exact run of words around the tile, and for paraphrases the longest common subsequence and the
 share of the answer's words.
 
-Items are searched in blocks of ITEMS, so what is broadcast is bounded; documents of any length are tiled as a whole and never
+Items are searched in blocks of about ITEMS, or of ITEM_CHARS characters, so what is broadcast is bounded; documents of any length are tiled as a whole and never
 joined. Defined results: null, empty or short texts match nothing; each pair of document and item comes once, with its best
 values; repeated items are found like any other; extra columns are ignored.
 """
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from chronoloom.llm.looks import Former
 from chronoloom.storage import materialize
 
-RUN, PASSAGE, RANK, ITEMS = 13, 7, 32, 20_000
-NEAR, CENTRES = 0.97, 128
+RUN, PASSAGE, RANK, ITEMS, ITEM_CHARS = 13, 7, 32, 20_000, 20_000_000
+NEAR, CENTRES, TIE = 0.97, 128, 1e-3
 WORDS = re.compile(r"[^\W_]+")
 
 
@@ -50,10 +51,11 @@ class Items:
             start.append(len(flat))
             flat += [self.number.setdefault(x, len(self.number)) for x in w] + [-2]
             owner += [len(ids) - 1] * (len(w) + 1)
-            answer.append(len(words_of((text or "").split("\n", 1)[0], former)))
+            lines = (text or "").strip().split("\n", 1)
+            answer.append(len(words_of(lines[0], former)) if len(lines) > 1 else 0)
         self.ids, self.flat, self.owner = np.array(ids, np.int64), np.array([-2, *flat], np.int32), np.array([0, *owner])
         self.start, self.stop = np.array(start, int) + 1, np.array([*start[1:], len(flat)], int)
-        self.answer = np.array(answer, int)  # words before the answer: those of the first line
+        self.answer = np.array(answer, int)  # words before the answer: those of the first line, none if it is the only one
         n = max(len(self.flat) - PASSAGE + 1, 0)
         view = np.lib.stride_tricks.sliding_window_view(self.flat, PASSAGE) if n else np.zeros((0, PASSAGE), np.int32)
         self.at = np.flatnonzero((view >= 0).all(1))
@@ -173,7 +175,7 @@ class Search:
             total = np.zeros_like(self.centres)
             np.add.at(total, near, w)
             self.centres = unit(np.where(np.bincount(near, minlength=len(total))[:, None] > 0, total, self.centres))
-        near = self.nearest(w)
+        near = (w @ self.centres.T).argmax(1)
         self.of = [np.flatnonzero(near == c) for c in range(len(self.centres))]
         self.w = w
         apart = np.arccos(np.clip((w * self.centres[near]).sum(1), -1, 1))
@@ -186,22 +188,30 @@ class Search:
             out += self.terms[m[:, k]]
         return unit(out)
 
-    def nearest(self, x: np.ndarray) -> np.ndarray:
-        """Number of the nearest centre; rounding keeps equal passages together, however they are batched."""
-        return np.round(x @ self.centres.T, 4).argmax(1)
-
     def candidates(self, m: np.ndarray, least: float = NEAR) -> tuple[np.ndarray, np.ndarray]:
         """(row of m, window) with a cosine of at least `least`. From NEAR on, where passages are equal, a row is compared with the
-        windows of its nearest centre; below, with those of every centre that may hold such a window by the angles."""
+        windows of its nearest centres; below, with those of every centre that may hold such a window by the angles."""
+        # Equal passages, which a corpus is full of, are searched once.
+        key = np.zeros(len(m), np.uint64)
+        for k in range(m.shape[1]):
+            key = (key ^ (m[:, k].astype(np.int64) + 2).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        if (m[first][back] == m).all():  # else two passages share a key
+            if len(first) < len(m):
+                row, win = self.candidates(m[first], least)
+                per = np.bincount(row, minlength=len(first))
+                order, start = np.argsort(row, kind="stable"), np.cumsum(per) - per
+                n = per[back]
+                at = np.arange(n.sum()) + np.repeat(start[back] - (np.cumsum(n) - n), n)
+                return np.repeat(np.arange(len(m)), n), win[order][at]
         x = self.place(m)
+        near = x @ self.centres.T
         if least >= NEAR:
-            near = self.nearest(x)
-            order = np.argsort(near, kind="stable")
-            parts = np.split(order, np.searchsorted(near[order], np.arange(1, len(self.of))))
+            probed = near >= near.max(1, keepdims=True, initial=-2) - TIE
         else:
-            far = np.arccos(np.clip(x @ self.centres.T, -1, 1))
-            probed = far - self.reach[None, :] <= np.arccos(least) + 5e-3  # for rounding in single precision
-            parts = [np.flatnonzero(p) for p in probed.T]
+            probed = np.arccos(np.clip(near, -1, 1)) - self.reach[None, :] <= np.arccos(least) + 5e-3  # for rounding in single precision
+        parts = [np.flatnonzero(p) for p in probed.T]
         rows, wins = [], []
         for part, of in zip(parts, self.of, strict=True):
             step = max(1, 4_000_000 // max(1, len(of)))
@@ -223,12 +233,17 @@ def _extent(doc: np.ndarray, item: np.ndarray, p: np.ndarray, q: np.ndarray, ste
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence."""
-    row = np.zeros(len(b) + 1, int)
-    for x in a:
-        step = np.where(b == x, row[:-1] + 1, 0)
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], step))
-    return int(row[-1])
+    """Length of the longest common subsequence: one bit per word of a, in whole numbers of any length, one step per word of b that a
+    has."""
+    masks: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b[np.isin(b, a)].tolist():
+        hit = row & masks[x]
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
 
 def leaks(docs: DataFrame, items: DataFrame, paraphrases: bool = False) -> DataFrame:
@@ -236,10 +251,11 @@ def leaks(docs: DataFrame, items: DataFrame, paraphrases: bool = False) -> DataF
     passages are near without such a run, with lcs_share and answer_share (shares of the item's words, of its answer's words)."""
     spark = docs.sparkSession
     rows = items.filter("item_id is not null and text is not null").select("item_id", "text")
-    blocks = max(1, -(-rows.count() // ITEMS))
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // ITEMS), -(-chars // ITEM_CHARS))
     out = None
     for k in range(blocks):
-        block = Items(rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect())  # about ITEMS rows
+        block = Items(rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect())  # about ITEMS rows or ITEM_CHARS characters
         one = _leaks(docs, block, paraphrases) if len(block.windows) else spark.createDataFrame([], LEAK_SCHEMA)
         out = one if out is None else out.unionByName(one)
     return out
@@ -288,3 +304,27 @@ def _leaks(docs: DataFrame, items: Items, paraphrases: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[key[good] // len(it.ids)], pa.int64()), pa.array(it.ids[key[good] % len(it.ids)]), pa.array(run[good].astype(np.int32)), *nan], [c.split()[0] for c in LEAK_SCHEMA.split(", ")])
 
     return numbered.mapInArrow(kernel, LEAK_SCHEMA)
+
+
+def disturbed(items: DataFrame, every: int) -> DataFrame:
+    """The items as documents with ids -1 - item_id, in which every so many words are replaced by a word that is foreign to all."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column(1).to_pylist():
+                parts = re.split(r"(\s+)", t)
+                out.append("".join(f"zzq{k}" if k % 2 == 0 and k // 2 % every == every - 1 else x for k, x in enumerate(parts)))
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - i for i in b.column(0).to_pylist()], pa.int64()), pa.array(out, pa.string())], ["doc_id", "text"])
+
+    return items.filter("item_id is not null and text is not null").select("item_id", "text").mapInArrow(kernel, "doc_id long, text string")
+
+
+def paraphrase_recall(docs: DataFrame, items: DataFrame, every: int = 8) -> DataFrame:
+    """One row: items, and of how many a copy with every so many words replaced was found among the documents, by a run of RUN words or as a
+    paraphrase."""
+    both = docs.select("doc_id", "text").unionByName(disturbed(items, every))
+    found = leaks(both, items, paraphrases=True).filter("doc_id = -1 - item_id")
+    n = items.filter("item_id is not null and text is not null").agg(F.count("*").alias("n_items"), F.lit(1).alias("_k"))
+    got = found.agg(F.count("*").alias("n_found"), F.count_if(F.col("longest_run") < RUN).alias("n_without_run"), F.lit(1).alias("_k"))
+    return n.join(got, "_k").select(F.lit(every).alias("every"), "n_items", "n_found", "n_without_run", (F.col("n_found") / F.col("n_items")).alias("recall"))

@@ -3,7 +3,8 @@
 Documents of a source are laid end to end by their tokens and packed into blocks of a fixed number of tokens. Every output shard
 draws a multinomial number of slots per source; totals are corrected to the exact targets by a last shard. The i-th slot of a
 source takes block perm(i mod blocks), with another pseudorandom permutation for each round, so that no block is used more than
-max_repeats times; slots and blocks are joined by that index.
+max_repeats times; slots and blocks are joined by that index. A source's slots are taken in their order until its target is
+reached, the last one in part; a source has a shortfall if all that was drawn from it is less than its target.
 
 Order and offsets come from two-level running sums: a source with a third of all rows is spread over many buckets.
 
@@ -38,12 +39,15 @@ def token_count(text: Column) -> Column:
 
 
 def sizes_by_vocabulary(docs: DataFrame, vocabulary_file: str) -> DataFrame:
-    """doc_id, source, n_tok by a public tokenizer's file (tokenizers library) instead of the pattern."""
+    """doc_id, source, n_tok by a public tokenizer's file (tokenizers library) instead of the pattern. The file is read where the query
+    is made and sent to the workers: a vocabulary, of some megabytes."""
+    with open(vocabulary_file, encoding="utf-8") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(vocabulary_file)
+        t = Tokenizer.from_str(sent.value)
         t.encode_special_tokens = True
         for f in frames:
             n = [len(e.ids) for e in t.encode_batch(f.text.fillna("").tolist(), add_special_tokens=False)]
@@ -85,7 +89,7 @@ def permuted(i: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
 
 
 def mix_plan(sizes: DataFrame, targets: DataFrame, total: int, block: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per mix and source: total (of all sources), size, target, capacity, failed, blocks, slots."""
+    """One row per mix and source: total (of all sources), size, target, capacity, blocks, slots."""
     per = sizes.groupBy("source").agg(F.sum("n_tok").alias("size"))
     plan = targets.withColumn("source_key", source_key(F.col("source"))).join(per.withColumnRenamed("source", "source_key"), "source_key", "left").withColumn("total", F.lit(total))
     blocks = F.ceil(F.col("size") / block).cast("long")
@@ -93,22 +97,23 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total: int, block: int = BLOC
         plan.withColumn("size", F.coalesce("size", F.lit(0)))
         .withColumn("target", F.col("weight") * F.col("budget_share") * F.col("total"))
         .withColumn("capacity", F.col("max_repeats") * F.col("size"))
-        .withColumn("failed", F.col("target") > F.col("capacity"))
         .withColumn("blocks", blocks)
-        .withColumn("slots", F.least(F.round(F.col("target") / block).cast("long"), F.col("max_repeats") * F.col("blocks")))
+        # One block of a source may be short in each round, so that many slots more are enough.
+        .withColumn("slots", F.when(F.col("target") > 0, F.least(F.ceil(F.col("target") / block).cast("long") + F.col("max_repeats"), F.col("max_repeats") * F.col("blocks"))))
         .withColumn("shards", F.ceil(F.sum("slots").over(Window.partitionBy("mix_id")) / SHARD_SLOTS).cast("long"))
     )
 
 
 def packed_blocks(sizes: DataFrame, rows: int, block: int = BLOCK_TOKENS) -> DataFrame:
-    """source, block, doc_id, from_tok, to_tok: the pieces of documents in each block. rows: about how many rows sizes has."""
+    """source, block, doc_id, at, from_tok, to_tok: the pieces of documents in each block, from its token `at` on. rows: about how many
+    rows sizes has."""
     buckets = max(16, rows // BUCKET_ROWS)
     laid = running_total(sizes.filter("n_tok > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))), ["source"], "bucket", ["doc_id"], "n_tok", "start")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("n_tok") - 1) / block)
     pieces = laid.withColumn("block", F.explode(F.sequence(first, last)))
     a = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     b = F.least((F.col("block") + 1) * block - F.col("start"), F.col("n_tok"))
-    return pieces.select("source", "block", "doc_id", a.alias("from_tok"), b.alias("to_tok"))
+    return pieces.select("source", "block", "doc_id", F.greatest(F.col("start") - F.col("block") * block, F.lit(0)).alias("at"), a.alias("from_tok"), b.alias("to_tok"))
 
 
 def drawn_slots(plan: DataFrame, seed: int = 11) -> DataFrame:
@@ -147,20 +152,30 @@ class Mix:
     def __init__(self, sizes: DataFrame, targets: DataFrame, block: int = BLOCK_TOKENS, seed: int = 11) -> None:
         self.sizes = materialize(sizes, "sizes")
         self.rows, total = self.sizes.agg(F.count("*"), F.coalesce(F.sum("n_tok"), F.lit(0))).first()
-        self.plan = mix_plan(self.sizes, targets, total, block)
-        self.blocks = packed_blocks(self.sizes, self.rows, block)
-        self.slots = drawn_slots(self.plan, seed)
+        self.plan = materialize(mix_plan(self.sizes, targets, total, block), "plan")
+        self.blocks = materialize(packed_blocks(self.sizes, self.rows, block), "blocks")
+        self.slots = materialize(self._taken(drawn_slots(self.plan, seed)), "slots")
+
+    def _taken(self, slots: DataFrame) -> DataFrame:
+        """The slots up to each source's target, with the tokens taken from their blocks."""
+        filled = self.blocks.groupBy(F.col("source").alias("source_key"), "block").agg(F.sum(F.col("to_tok") - F.col("from_tok")).alias("n"))
+        held = slots.join(filled, ["source_key", "block"]).withColumn("bucket", F.floor(F.col("slot") / 4096))
+        laid = running_total(held, ["mix_id", "source_key"], "bucket", ["slot"], "n", "start")
+        want = self.plan.select("mix_id", "source_key", F.ceil("target").cast("long").alias("want"))
+        return laid.join(want, ["mix_id", "source_key"]).filter("start < want").withColumn("take", F.least("n", F.col("want") - F.col("start"))).drop("bucket", "n", "start", "want")
 
     def records(self) -> DataFrame:
         """mix_id, shard, source, slot, repeat, doc_id, from_tok, to_tok: the mix, piece by piece."""
         b = self.blocks.withColumnRenamed("source", "source_key")
-        return self.slots.join(b, ["source_key", "block"]).select("mix_id", "shard", F.col("source_key").alias("source"), "slot", "repeat", "doc_id", "from_tok", "to_tok")
+        end = F.least("to_tok", F.col("from_tok") + F.col("take") - F.col("at"))
+        cut = self.slots.join(b, ["source_key", "block"]).filter("at < take").withColumn("to_tok", end)
+        return cut.select("mix_id", "shard", F.col("source_key").alias("source"), "slot", "repeat", "doc_id", "from_tok", "to_tok")
 
     def report(self) -> DataFrame:
-        """Per mix and source: target, size, capacity, tokens drawn, actual share, most repeats, shortfall, failed."""
-        filled = self.blocks.groupBy(F.col("source").alias("source_key"), "block").agg(F.sum(F.col("to_tok") - F.col("from_tok")).alias("n"))
-        got = self.slots.join(filled, ["source_key", "block"]).groupBy("mix_id", "source_key").agg(F.sum("n").alias("drawn"), (F.max("repeat") + 1).alias("repeats"))
+        """Per mix and source: target, size, capacity, tokens drawn, actual share, most repeats, shortfall and failed, both from what
+        was drawn."""
+        got = self.slots.groupBy("mix_id", "source_key").agg(F.sum("take").alias("drawn"), (F.max("repeat") + 1).alias("repeats"))
         out = self.plan.join(got, ["mix_id", "source_key"], "left").fillna(0, ["drawn", "repeats"])
-        share = F.col("drawn") / F.sum("drawn").over(Window.partitionBy("mix_id"))
-        short = F.when(F.col("failed"), F.greatest(F.col("target") - F.col("drawn"), F.lit(0.0))).otherwise(0.0)
-        return out.select("mix_id", "source", "weight", "max_repeats", "total", "size", "target", "capacity", "drawn", share.alias("actual_share"), "repeats", short.alias("shortfall"), "failed")
+        total = F.sum("drawn").over(Window.partitionBy("mix_id"))
+        short = F.greatest(F.col("target") - F.col("drawn"), F.lit(0.0))
+        return out.select("mix_id", "source", "weight", "max_repeats", "total", "size", "target", "capacity", "drawn", F.when(total > 0, F.col("drawn") / total).alias("actual_share"), "repeats", short.alias("shortfall"), (F.col("drawn") < F.col("target")).alias("failed"))

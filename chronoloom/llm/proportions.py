@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.storage import materialize
+
 STEPS = 1024
 
 
@@ -57,9 +59,9 @@ def _first(rows: DataFrame, step: Column) -> DataFrame:
     return whole.withColumn("rank", rank).filter(F.col("before") + F.col("rank") <= F.col("quota")).drop("step", "before", "rank")
 
 
-def draw(samples: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
-    """plan_id, dataset, label, sample_id of the rows drawn; exactly quota of each label."""
-    quotas = plan_quotas(samples, targets)
+def draw(samples: DataFrame, targets: DataFrame, seed: int = 7, quotas: DataFrame | None = None) -> DataFrame:
+    """plan_id, dataset, label, sample_id of the rows drawn; exactly quota of each label. quotas: of plan_quotas, if made already."""
+    quotas = materialize(plan_quotas(samples, targets), "quotas") if quotas is None else quotas
     rows = usable_samples(samples).join(quotas.filter("quota > 0").select("plan_id", "dataset", "label", "quota", "chance"), ["dataset", "label"]).withColumn("u", _uniform(seed))
     taken = rows.filter(F.col("u") < F.col("chance"))
     first = _first(taken, F.floor(F.col("u") / F.col("chance") * STEPS).cast("int"))
@@ -72,8 +74,9 @@ def draw(samples: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
 
 def draw_report(samples: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """Per plan and label: wanted, quota, drawn, actual share, rows short of the target and of the minimum, failed."""
-    drawn = draw(samples, targets, seed).groupBy("plan_id", "label").agg(F.count("*").alias("drawn"))
-    plan = plan_quotas(samples, targets).join(drawn, ["plan_id", "label"], "left").fillna(0, ["drawn"])
+    quotas = materialize(plan_quotas(samples, targets), "quotas")
+    drawn = draw(samples, targets, seed, quotas).groupBy("plan_id", "label").agg(F.count("*").alias("drawn"))
+    plan = quotas.join(drawn, ["plan_id", "label"], "left").fillna(0, ["drawn"])
     total = F.sum("drawn").over(Window.partitionBy("plan_id"))
     failed = (F.col("drawn") < F.col("wanted")) | (F.col("drawn") < F.col("min_rows"))
     gap = F.greatest(F.col("wanted") - F.col("drawn"), F.col("min_rows") - F.col("drawn"), F.lit(0.0))

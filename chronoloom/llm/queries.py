@@ -63,6 +63,11 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), paraphrases=True)
 
 
+def p8_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many items are found whose copies among the documents have every 8th word replaced."""
+    return leaks.paraphrase_recall(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     out = proportions.draw_report(table(spark, d, "samples"), table(spark, d, "label_targets"))
     return out.select("plan_id", "label", "wanted", "usable", "available", "quota", "drawn", "actual_share", "short", "failed")
@@ -85,7 +90,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d).report()
+    return _mix(spark, d).report().drop("repeats")
 
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -104,12 +109,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return looks.look_alikes(table(spark, d, "documents"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return looks.look_classes(table(spark, d, "documents"))
+
+
 def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every document with the form of its text."""
     return looks.canonical_texts(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "canonical", F.coalesce(F.col("canonical") != F.col("text"), F.lit(False)).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_recall, p3_found, p3_described, p3_quality, p5_found, p5_report, p5_recall, p7_found, p7_report, p7_drawn, p8_found, p8_leaks, p9_found, p9_report, p9_tokenized, p9_mixed, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_recall, p3_found, p3_described, p3_quality, p5_found, p5_report, p5_recall, p7_found, p7_report, p7_drawn, p8_found, p8_leaks, p8_recall, p9_found, p9_report, p9_tokenized, p9_mixed, p10_found, p10_classes, p10_canonical)}
 
 USABLE_SQL = """
 usable AS (SELECT DISTINCT ON (c.sample_id) c.sample_id, c.dataset, c.c_trans AS v, h.k_nearest, h.k_dis_high, h.eps, h.min_samples
@@ -120,8 +129,15 @@ dist AS (SELECT a.sample_id AS a, b.sample_id AS b, a.k_nearest, a.k_dis_high, a
                 list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) AS d
          FROM usable a JOIN usable b ON a.dataset = b.dataset AND a.sample_id <> b.sample_id)"""
 
-LATIN = "".join(x for _, x in (looks.CYRILLIC, looks.GREEK)) + "μ" + "-" * len(looks.HYPHENS)
-FOREIGN = looks.CYRILLIC[0] + looks.GREEK[0] + "µ" + looks.HYPHENS
+# The same shapes once more, written for SQL by code point, independent of the operator's own table.
+SHAPES = {
+    "A": "0410 0391", "B": "0412 0392", "C": "0421 03F9", "E": "0415 0395", "G": "050C", "H": "041D 0397", "I": "0406 0399 04C0", "J": "0408 037F", "K": "041A 039A", "M": "041C 039C", "N": "039D",
+    "O": "041E 039F", "P": "0420 03A1", "Q": "051A", "S": "0405", "T": "0422 03A4", "V": "0474", "W": "051C", "X": "0425 03A7", "Y": "0423 03A5 04AE", "Z": "0396",
+    "a": "0430", "c": "0441 03F2", "d": "0501", "e": "0435", "h": "04BB", "i": "0456", "j": "0458 03F3", "l": "04CF", "o": "043E 03BF", "p": "0440", "q": "051B", "s": "0455", "v": "0475 03BD", "w": "051D",
+    "x": "0445", "y": "0443 04AF", "Æ": "04D4", "æ": "04D5", "Ə": "04D8", "ə": "04D9", "μ": "00B5", "-": "2010 2011 058A 1806 FE63",
+}
+FOREIGN = "".join(chr(int(x, 16)) for codes in SHAPES.values() for x in codes.split())
+LATIN = "".join(shape * len(codes.split()) for shape, codes in SHAPES.items())
 
 
 def _look_sql(c: str) -> str:
@@ -172,6 +188,11 @@ greatest(wanted - quota, min_rows - quota, 0.0)::DOUBLE AS short, quota < wanted
 per AS (SELECT k, sum(n) AS size FROM s GROUP BY k), tot AS (SELECT sum(n) AS t FROM s)
 SELECT mix_id, source FROM mix_targets m LEFT JOIN per ON per.k = lower(trim(m.source)), tot
 WHERE weight * budget_share * t > max_repeats * coalesce(size, 0)""",
+    "p9_report": r"""WITH s AS (SELECT lower(trim(source)) AS k, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t\n\v\f\r\x1c-\x20\x{85}\p{Z}]+')) AS n FROM documents WHERE source IS NOT NULL),
+per AS (SELECT k, sum(n) AS size FROM s GROUP BY k), tot AS (SELECT sum(n)::BIGINT AS total FROM s),
+p AS (SELECT mix_id, source, weight, max_repeats, total, coalesce(size, 0)::BIGINT AS size, weight * budget_share * total AS target, (max_repeats * coalesce(size, 0))::BIGINT AS capacity FROM mix_targets m LEFT JOIN per ON per.k = lower(trim(m.source)), tot),
+d AS (SELECT *, least(ceil(target), capacity)::BIGINT AS drawn FROM p)
+SELECT mix_id, source, weight, max_repeats, total, size, target, capacity, drawn, drawn / sum(drawn) OVER (PARTITION BY mix_id) AS actual_share, greatest(target - drawn, 0) AS shortfall, drawn < target AS failed FROM d""",
     "p8_found": rf"""WITH t AS (SELECT doc_id, NULL::BIGINT AS item_id, text FROM documents UNION ALL SELECT NULL, item_id, text FROM eval_items),
 w AS (SELECT doc_id, item_id, regexp_extract_all(lower({_look_sql('text')}), '[\p{{L}}\p{{N}}]+') AS w FROM t WHERE text IS NOT NULL),
 g AS (SELECT doc_id, item_id, unnest([array_to_string(w[i : i + 12], ' ') FOR i IN range(1, len(w) - 11)]) AS g FROM w WHERE len(w) >= 13)
