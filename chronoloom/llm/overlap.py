@@ -2,13 +2,13 @@
 
 Readings become symbols, so a channel is a text; missing cells and implausible readings part its words. The step of the symbols
 is a power of two between WIDE / 2 and WIDE standard deviations of the evaluation record's channel, so it is several times the tolerance;
-each text is kept in two grids, shifted by half a step, since a pair of readings that a border parts in one is together in the
-other. Equal records of a split are collapsed to a class first.
+channels of fewer than FEW readings are kept in a second grid as well, shifted by half a step, since a pair of readings that a border
+parts in one is together in the other. Equal records of a split are collapsed to a class first.
 
 Index: evaluation classes are indexed in shards of SHARD, once, and the indexes are written to the shared folder. For each channel,
 step and grid a shard has a Burrows-Wheeler transform in a wavelet matrix of packed bits with counts per word, and every SAMPLE-th
 place of the suffix array. Training classes are streamed through the shards in blocks of BLOCK, with the steps that are next to
-their own: backward search finds all places of the SEED symbols that end at each position; of words that are shorter, on
+their own: backward search finds all places of the SEED symbols that end at every EVERY-th position; of words that are shorter, on
 either side, the places of the whole word. Matches of one pair and one misalignment are merged to maximal spans and counted. Pairs whose
 spans cover enough are compared in symbols (readings that agree are at most one step apart), and what passes is joined with the
 readings of both and compared reading by reading. Classes without any word of LEAST_WORD symbols can't be searched: they are
@@ -35,7 +35,7 @@ from chronoloom.operators.distances import meet
 from chronoloom.operators.spikes import channel_limits, chunks, clean_matrix, numeric_list, pad
 from chronoloom.storage import materialize
 
-SEED, LEAST_WORD, COVER, SHIFT, WIDE, SAMPLE = 8, 3, 12, 3, 0.25, 8
+SEED, LEAST_WORD, COVER, SHIFT, WIDE, SAMPLE, EVERY, FEW = 8, 3, 12, 3, 0.5, 8, 2, 24
 MATCHES = 2_000_000
 SHARD, BLOCK = 32_768, 4_096
 AGREE, TOLERANCE, LEAST = 0.9, 0.05, 5
@@ -150,40 +150,64 @@ class TextIndex:
             i = np.where(bit, zeros + one, i - one)
         return self.shift[c] + i
 
-    def ranges(self, text: np.ndarray, ends: np.ndarray, length: int, closed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffixes (from, to) that begin with text[e - length + 1 .. e], for each end e that has any: (number of the end, from, to).
-        closed: only where it is a whole word, with a gap on either side."""
+    def _known(self, c: np.ndarray) -> np.ndarray:
+        return (c > GAP) & (c < self.size)
+
+    def ranges(self, text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes (from, to) that begin with text[e - length + 1 .. e], for each end e that has any: (number of the end, from, to)."""
         who = np.flatnonzero(ends >= length - 1)
         last = text[ends[who]].astype(np.int64)
-        ok = (last > GAP) & (last < self.size)
+        ok = self._known(last)
         who, last = who[ok], last[ok]
-        if closed or length < 2 or self.pairs is None:
-            lo, hi = np.zeros(len(who), np.int64), np.full(len(who), self.n, np.int64)
-            if closed:
-                gap = np.full(len(who), GAP)
-                lo, hi = self.extend(gap, lo), self.extend(gap, hi)
-            first = 0
+        if length < 2 or self.pairs is None:
+            lo, hi, first = np.zeros(len(who), np.int64), np.full(len(who), self.n, np.int64), 0
         else:
             before = text[ends[who] - 1].astype(np.int64)
-            ok = (before > GAP) & (before < self.size)
-            who, key = who[ok], before[ok] * self.size + last[ok]
-            lo, hi = self.pairs[0][key].astype(np.int64), self.pairs[1][key].astype(np.int64)
-            ok = hi > lo
-            who, lo, hi = who[ok], lo[ok], hi[ok]
+            ok = self._known(before)
+            who, lo, hi = self._paired(who[ok], before[ok], last[ok])
             first = 2
         for step in range(first, length):
-            c = text[ends[who] - step].astype(np.int64)
-            ok = (c > GAP) & (c < self.size)
-            who, lo, hi, c = who[ok], lo[ok], hi[ok], c[ok]
-            lo, hi = self.extend(c, lo), self.extend(c, hi)
-            ok = hi > lo
-            who, lo, hi = who[ok], lo[ok], hi[ok]
-        if closed:
-            gap = np.full(len(who), GAP)
-            lo, hi = self.extend(gap, lo), self.extend(gap, hi)
+            who, lo, hi = self._further(text, ends, who, lo, hi, step)
+        return who, lo, hi
+
+    def _paired(self, who: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key = a * self.size + b
+        lo, hi = self.pairs[0][key].astype(np.int64), self.pairs[1][key].astype(np.int64)
+        ok = hi > lo
+        return who[ok], lo[ok], hi[ok]
+
+    def _further(self, text: np.ndarray, ends: np.ndarray, who: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ok = ends[who] >= step
+        who, lo, hi = who[ok], lo[ok], hi[ok]
+        c = text[ends[who] - step].astype(np.int64)
+        ok = self._known(c)
+        who, lo, hi, c = who[ok], lo[ok], hi[ok], c[ok]
+        lo, hi = self.extend(c, lo), self.extend(c, hi)
+        ok = hi > lo
+        return who[ok], lo[ok], hi[ok]
+
+    def whole_words(self, text: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each of the lengths: (length, number of the end, from, to) of the suffixes that begin with a gap, text[e - length + 1 .. e]
+        and a gap: words of this length that the indexed text has as a whole."""
+        who = np.arange(len(ends))
+        last = text[ends].astype(np.int64)
+        ok = self._known(last)
+        who, last = who[ok], last[ok]
+        gap = np.full(len(who), GAP)
+        if self.pairs is None:
+            lo, hi = self.extend(gap, np.zeros(len(who), np.int64)), self.extend(gap, np.full(len(who), self.n, np.int64))
+            lo, hi = self.extend(last, lo), self.extend(last, hi)
             ok = hi > lo
             who, lo, hi = who[ok], lo[ok], hi[ok]
-        return who, lo, hi
+        else:
+            who, lo, hi = self._paired(who, last, gap)
+        for step in range(1, int(lengths.max(initial=0)) + 1):
+            if step in lengths:
+                gap = np.full(len(who), GAP)
+                a, b = self.extend(gap, lo), self.extend(gap, hi)
+                ok = b > a
+                yield step, who[ok], a[ok], b[ok]
+            who, lo, hi = self._further(text, ends, who, lo, hi, step)
 
     def places_of(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of the range, position in the indexed text) of all suffixes of the ranges."""
@@ -262,52 +286,56 @@ class Shard:
             self.levels = np.where(held, self.levels, 32_767).astype(np.int16)
         gap = x.shape[2] + 1
         word = words_of(held)
-        self.parts: dict[tuple[int, int], list] = {}
+        self.parts: dict[tuple[int, int, int], list] = {}
         for v in range(x.shape[1]):
             for e in np.unique(self.scale[:, v][held[:, v].any(1)]):
                 rows = np.flatnonzero((self.scale[:, v] == e) & held[:, v].any(1))
                 short = np.unique(word[rows, v])
                 short = short[(short >= LEAST_WORD) & (short < SEED)]
-                grids = []
                 for g in (0, 1):
+                    if g:
+                        rows = rows[held[rows, v].sum(1) < FEW]
+                    if not len(rows):
+                        continue
                     q = symbols(x[rows, v], int(e), g)
                     known = np.unique(q[~np.isnan(q)])
                     text = np.full((len(rows), gap), GAP, np.int64)
                     text[:, :-1] = np.where(np.isnan(q), GAP, np.searchsorted(known, np.nan_to_num(q)) + 2)
-                    grids.append((known, TextIndex(np.concatenate([text.ravel(), [END]]))))
-                self.parts[v, int(e)] = [rows.astype(np.int32), short, grids]
+                    self.parts[v, int(e), g] = [rows.astype(np.int32), short, known, TextIndex(np.concatenate([[GAP], text.ravel(), [END]]))]
         self.gap = gap
 
     def candidates(self, x: np.ndarray, most: int = MATCHES) -> Iterator[np.ndarray]:
         """Rows (row of x, row of the shard, misalignment) whose matches cover enough, for so many rows of x at a time as have about
         `most` matches together."""
         n, depth, width = x.shape
-        own, word = scales(x), words_of(~np.isnan(x))
+        own, held = scales(x), ~np.isnan(x)
+        word, count = words_of(held), held.sum(2)
         found, total = [], np.zeros(n, np.int64)
-        for (v, e), (rows, short, grids) in self.parts.items():
+        for (v, e, g), (rows, short, known, index) in self.parts.items():
             if v >= depth:
                 continue
-            near = np.flatnonzero(np.abs(own[:, v] - e) <= 1)
+            near = np.flatnonzero((np.abs(own[:, v] - e) <= 1) & ((g == 0) | (count[:, v] < 2 * FEW)))
             if not len(near):
                 continue
-            for g, (known, index) in enumerate(grids):
-                q = symbols(x[near, v], e, g)
-                at = np.clip(np.searchsorted(known, np.nan_to_num(q)), 0, len(known) - 1)
-                text = np.full((len(near), width + 1), GAP, np.int64)
-                text[:, :-1] = np.where(np.isnan(q), GAP, np.where(known[at] == q, at + 2, NEVER))
-                flat = text.ravel()
-                ends = np.flatnonzero(flat > GAP)
-                asked = [(ends, SEED, False)] + [(ends, int(k), True) for k in short]
-                own_words = np.concatenate([word[near, v], np.zeros((len(near), 1), int)], axis=1).ravel()
-                asked += [(np.flatnonzero(own_words == k), k, False) for k in range(LEAST_WORD, SEED) if (own_words == k).any()]
-                for where, length, closed in asked:
-                    who, lo, hi = index.ranges(flat, where, length, closed)
-                    if len(who):
-                        end = where[who]
-                        row = near[end // (width + 1)]
-                        order = np.argsort(row, kind="stable")
-                        found.append((index, rows, v, g, length, int(closed), row[order], (end % (width + 1))[order], lo[order], hi[order]))
-                        total += np.bincount(row, hi - lo, n).astype(np.int64)
+            q = symbols(x[near, v], e, g)
+            at = np.clip(np.searchsorted(known, np.nan_to_num(q)), 0, len(known) - 1)
+            text = np.full((len(near), width + 1), GAP, np.int64)
+            text[:, :-1] = np.where(np.isnan(q), GAP, np.where(known[at] == q, at + 2, NEVER))
+            flat = text.ravel()
+            ends = np.flatnonzero(flat > GAP)
+            own_words = np.concatenate([word[near, v], np.zeros((len(near), 1), int)], axis=1).ravel()
+            hits = []
+            for where, length in [(ends[ends % (width + 1) % EVERY == 0], SEED)] + [(np.flatnonzero(own_words == k), k) for k in range(LEAST_WORD, SEED)]:
+                who, lo, hi = index.ranges(flat, where, length)
+                hits.append((where[who], lo, hi, length, 0))
+            if len(short):
+                hits += [(ends[who], lo, hi, length, 1) for length, who, lo, hi in index.whole_words(flat, ends, short)]
+            for end, lo, hi, length, closed in hits:
+                if len(end):
+                    row = near[end // (width + 1)]
+                    order = np.argsort(row, kind="stable")
+                    found.append((index, rows, v, g, length, closed, row[order], (end % (width + 1))[order], lo[order], hi[order]))
+                    total += np.bincount(row, hi - lo, n).astype(np.int64)
         part = np.cumsum(total) // most
         k = 2 * SHIFT + 1
         for p in np.unique(part):
@@ -316,10 +344,11 @@ class Shard:
             for index, rows, v, g, length, closed, row, end, lo, hi in found:
                 a, b = np.searchsorted(row, first), np.searchsorted(row, last)
                 who, place = index.places_of(lo[a:b], hi[a:b])
-                begin = place % self.gap + closed
+                place = place + closed - 1  # the indexed text begins with a gap
+                begin = place % self.gap
                 shift = begin - (end[a:b][who] - length + 1)
                 ok = np.abs(shift) <= SHIFT
-                pair = (row[a:b][who[ok]] * len(self.ids) + rows[place[ok] // self.gap + (begin[ok] >= self.gap)]) * k + shift[ok] + SHIFT
+                pair = (row[a:b][who[ok]] * len(self.ids) + rows[place[ok] // self.gap]) * k + shift[ok] + SHIFT
                 got.append(np.stack([pair, (v * 2 + g) * self.gap * 2 + end[a:b][who[ok]], np.full(len(pair), length)], axis=1))
             got = np.concatenate(got) if got else np.zeros((0, 3), np.int64)
             if not len(got):

@@ -24,7 +24,7 @@ def test_suffix_array_and_search():
             which, at = index.places_of(lo, hi)
             want = {(e, i) for e in range(length - 1, len(query)) for i in range(len(text) - length) if (query[e - length + 1 : e + 1] > 1).all() and (query[e - length + 1 : e + 1] == text[i : i + length]).all()}
             assert set(zip(who[which].tolist(), at.tolist())) == want and len(which) == len(want) > 0
-            who, lo, hi = index.ranges(query, ends, length, closed=True)
+            ((_, who, lo, hi),) = index.whole_words(query, ends, np.array([length]))
             which, at = index.places_of(lo, hi)
             assert set(zip(who[which].tolist(), at.tolist())) == {(e, i - 1) for e, i in want if i and text[i - 1] == 1 and text[i + length] == 1}
 
