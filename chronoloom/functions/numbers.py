@@ -22,7 +22,9 @@ def finite(c: Column) -> Column:
 def parse_number(c: Column) -> Column:
     """The number that a text states: decimal point or comma, sign, exponent, blanks and a trailing unit of microvolts are
     understood; a comma beside a point divides thousands. Null if it states none (null, empty, words, NaN, infinite)."""
-    plain = F.when(c.rlike(r"^-?\d{1,15}(\.\d{1,15})?$"), c.try_cast("double"))
+    # The cast alone serves nearly all rows; it also reads words, type suffixes and hexadecimal numbers, which are left to the pattern.
+    cast = c.try_cast("double")
+    plain = F.when((F.abs(cast) < F.lit(float("inf"))) & F.right(c, F.lit(1)).between("0", "9") & (F.instr(c, "x") == 0) & (F.instr(c, "X") == 0), cast)
     bare = F.regexp_replace(squeeze(c), r"(?i)[\s\p{Z}]*[uµμ]v$", "")
     bare = F.when(F.instr(bare, ".") > 0, F.replace(bare, F.lit(","), F.lit(""))).otherwise(F.replace(bare, F.lit(","), F.lit(".")))
     odd = F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double"))
@@ -33,3 +35,8 @@ def known_word(c: Column, unknown: tuple[str, ...] = UNKNOWN_WORDS) -> Column:
     """The text without outer blanks, or null where it is null, blank or a word for "unknown"."""
     word = squeeze(c)
     return F.when(~F.lower(word).isin(*unknown), word)
+
+
+def is_number(kind: str) -> bool:
+    """Whether a type's values are read by parse_number()."""
+    return kind.split("(")[0] in ("double", "float", "decimal", "tinyint", "smallint", "int", "bigint", "long", "short", "byte")

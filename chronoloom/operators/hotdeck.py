@@ -5,7 +5,8 @@ cut into blocks of like records; the order is a range partitioning, so a dataset
 tasks and a block never grows with the data. Within a block all distances are three matrix products over the cells that both
 records hold. A missing cell takes the weighted median of the closest donors that hold the cell; a word (device, site) takes
 the majority of its session, or else of the closest donors. What no donor of the block holds is taken from the nearest reading
-of the same channel, then from the mean of the channel over all records.
+of the same channel, then from the mean of the channel over all records. Implausible readings are not missing, so they are not
+filled, but they give no value to others and count in no distance or mean.
 
 Defined results: every missing cell of the grid given by channels (var_id x series_len) is reported and filled, also for a
 null series; cells beyond the grid are ignored; records of datasets without channels have no grid; a repeated sample_id counts
@@ -23,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions.numbers import known_word
-from chronoloom.operators.spikes import channel_limits, channels_of, numeric_list, pad, per_channel
+from chronoloom.operators.spikes import channel_limits, channels_of, cuts, implausible, numeric_list, pad, per_channel
 from chronoloom.storage import materialize
 
+#: Stands for an implausible reading in the cells: held, but of no use to others.
+ODD = np.inf
 #: Records of a block, donors of a cell, and how many of the closest donors are looked at first.
 BLOCK, DONORS, FIRST = 256, 5, 32
 LEVELS = 16
@@ -52,29 +55,37 @@ def level_code(means: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Series as one flat list of the grid's cells (NaN = missing), with the record's code."""
-    for batch in batches:
-        n = batch.num_rows
-        length = batch.column("series_len").cast(pa.float64()).to_numpy(zero_copy_only=False)
-        length = np.nan_to_num(length, nan=0).astype(np.int64)
-        nvar, _ = numeric_list(batch.column("lo"))
-        width, depth = int(length.max(initial=0)), int(nvar.max(initial=0))
-        cube = np.full((n, depth, width), np.nan)
-        row, var, inner = channels_of(batch.column("series"))
-        values = pad(*numeric_list(inner), width=width) if width else np.zeros((len(row), 0))
-        values[~np.isfinite(values)] = np.nan
-        values[values == per_channel(batch.column("code"), row, var)[:, None]] = np.nan
-        ok = var < nvar[row]
-        cube[row[ok], var[ok]] = values[ok]
-        inside = (np.arange(depth)[None, :, None] < nvar[:, None, None]) & (np.arange(width)[None, None, :] < length[:, None, None])
-        rows, every = np.repeat(np.arange(n), depth), np.tile(np.arange(depth), n)
-        lo, hi = (per_channel(batch.column(c), rows, every).reshape(n, depth) for c in ("lo", "hi"))
-        held = ~np.isnan(cube)
-        with np.errstate(invalid="ignore"):
-            means = np.where(held, cube, 0).sum(2) / held.sum(2)
-        offsets = np.concatenate([[0], np.cumsum(inside.sum((1, 2)))]).astype(np.int32)
-        cells = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cube[inside]))
-        names = ["sample_id", "session_id", "device", "site", "dataset", "label"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(level_code(means, lo, hi)), pa.array(length.astype(np.int32)), cells], [*names, "code", "series_len", "cells"])
+    for whole in batches:
+        length = np.nan_to_num(whole.column("series_len").cast(pa.float64()).to_numpy(zero_copy_only=False), nan=0).astype(np.int64)
+        nvar, _ = numeric_list(whole.column("lo"))
+        held = pc.fill_null(pc.list_value_length(whole.column("series")), 0).to_numpy(zero_copy_only=False)
+        inner = np.append(pc.fill_null(pc.list_value_length(whole.column("series").flatten()), 0).to_numpy(zero_copy_only=False), 0)
+        first = np.minimum(np.cumsum(held) - held, len(inner) - 1).astype(np.int64)
+        longest = np.where(held > 0, np.maximum.reduceat(inner, first), 0) if len(held) else held
+        for a, b in cuts(np.maximum(nvar, held), np.maximum(length, longest)):
+            yield _prepared(whole.slice(a, b - a), length[a:b], nvar[a:b])
+
+
+def _prepared(batch: pa.RecordBatch, length: np.ndarray, nvar: np.ndarray) -> pa.RecordBatch:
+    n, width, depth = batch.num_rows, int(length.max(initial=0)), int(nvar.max(initial=0))
+    cube = np.full((n, depth, width), np.nan)
+    row, var, inner = channels_of(batch.column("series"))
+    values = pad(*numeric_list(inner), width=width) if width else np.zeros((len(row), 0))
+    values[~np.isfinite(values)] = np.nan
+    values[values == per_channel(batch.column("code"), row, var)[:, None]] = np.nan
+    values[implausible(values, per_channel(batch.column("lo"), row, var), per_channel(batch.column("hi"), row, var))] = ODD
+    ok = var < nvar[row]
+    cube[row[ok], var[ok]] = values[ok]
+    inside = (np.arange(depth)[None, :, None] < nvar[:, None, None]) & (np.arange(width)[None, None, :] < length[:, None, None])
+    rows, every = np.repeat(np.arange(n), depth), np.tile(np.arange(depth), n)
+    lo, hi = (per_channel(batch.column(c), rows, every).reshape(n, depth) for c in ("lo", "hi"))
+    held = np.isfinite(cube)
+    with np.errstate(invalid="ignore"):
+        means = np.where(held, cube, 0).sum(2) / held.sum(2)
+    offsets = np.concatenate([[0], np.cumsum(inside.sum((1, 2)))]).astype(np.int32)
+    cells = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cube[inside]))
+    names = ["sample_id", "session_id", "device", "site", "dataset", "label"]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(level_code(means, lo, hi)), pa.array(length.astype(np.int32)), cells], [*names, "code", "series_len", "cells"])
 
 
 def _channel_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +97,7 @@ def _channel_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         var = (np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)) // length[parent]
         names = pc.dictionary_encode(batch.column("dataset"))
         key = names.indices.to_numpy(zero_copy_only=False)[parent] * 100_000 + var
-        held = ~np.isnan(flat)
+        held = np.isfinite(flat)
         keys, at = np.unique(key[held], return_inverse=True)
         x = flat[held]
         out = [np.bincount(at, minlength=len(keys)).astype(float), np.bincount(at, x, len(keys)), np.bincount(at, x * x, len(keys))]
@@ -115,11 +126,12 @@ def _nearest_in_series(x: np.ndarray) -> np.ndarray:
 
 
 def fill_block(ids: np.ndarray, x: np.ndarray, length: int, mean: np.ndarray, sd: np.ndarray, donors: int = DONORS) -> dict[str, np.ndarray]:
-    """Fill the missing cells of one block of records of one dataset. x: records x cells (channel after channel)."""
+    """Fill the missing cells of one block of records of one dataset. x: records x cells (channel after channel), NaN where missing."""
     n, cells = x.shape
     var = np.arange(cells) // max(length, 1)
-    held = ~np.isnan(x)
-    need = np.flatnonzero(~held.all(1))
+    missing, held = np.isnan(x), np.isfinite(x)
+    x = np.where(held, x, np.nan)
+    need = np.flatnonzero(missing.any(1))
     z = np.where(held, (x - mean[var]) / np.where(sd[var] > 0, sd[var], 1), 0).astype(np.float32)
     h = held.astype(np.float32)
     zz = z * z
@@ -128,7 +140,7 @@ def fill_block(ids: np.ndarray, x: np.ndarray, length: int, mean: np.ndarray, sd
     d = np.nan_to_num(np.maximum(d, 0), nan=1e9, posinf=1e9)
     d[np.arange(len(need)), need] = np.inf
     order = np.argsort(d, axis=1, kind="stable")[:, : max(n - 1, 1)]
-    r, c = np.nonzero(~held[need])
+    r, c = np.nonzero(missing[need])
     value, used = np.full(len(r), np.nan), np.full((len(r), donors), -1)
 
     def take(which: np.ndarray, width: int) -> np.ndarray:
@@ -183,7 +195,7 @@ def _fill_rows(block: pa.Table) -> Iterator[pa.RecordBatch]:
     x = pad(lens, flat)
     depth = x.shape[1] // length if length else 0
     mean, sd = (np.nan_to_num(np.array(block.column(c)[0].as_py() or [0.0] * depth, float)) for c in ("mean", "sd"))
-    out = []
+    out, plain = [], np.where(np.isfinite(x), x, np.nan)
     if x.shape[1]:
         f = fill_block(ids, x, length, mean, sd)
         m = len(f["row"])
@@ -201,7 +213,7 @@ def _fill_rows(block: pa.Table) -> Iterator[pa.RecordBatch]:
             if session[i] is not None:
                 got.append((session[i], "session", []))
                 continue
-            gap = np.abs(np.nan_to_num(x - x[i])).sum(1) if x.shape[1] else np.zeros(len(ids))
+            gap = np.abs(np.nan_to_num(plain - plain[i])).sum(1) if x.shape[1] else np.zeros(len(ids))
             word, who = _majority(words, np.argsort(gap, kind="stable"), DONORS)
             got.append((word, "donor", [int(ids[j]) for j in who]) if word is not None else (block.column(f"common_{field}")[i].as_py(), "dataset", []))
         k = len(lost)
@@ -270,3 +282,20 @@ def hot_deck(samples: DataFrame, channels: DataFrame) -> DataFrame:
         ready = ready.join(mates, "session_id", "left").join(common, "dataset", "left")
     ordered = ready.join(stats, "dataset", "left").repartitionByRange("dataset", F.coalesce("label", F.lit(-1)), "code", "sample_id").sortWithinPartitions("dataset", F.coalesce("label", F.lit(-1)), "code", "sample_id")
     return ordered.drop("session_id", "label", "code").mapInArrow(_fill, FILL_SCHEMA)
+
+
+def masked_error(samples: DataFrame, channels: DataFrame, every: int = 20) -> DataFrame:
+    """How good the filled values are: about one of `every` cells, chosen by hash, is hidden, and what is put into those that held a
+    reading is compared with it. dataset, n_cells, and the mean absolute errors, in standard deviations of the dataset's channel, of
+    the filled values and of the channel's mean."""
+    from chronoloom.operators.series import channels_long, prepared
+
+    chosen = lambda v, t: F.pmod(F.xxhash64("sample_id", v, t), F.lit(every)) == 0
+    hide = F.transform("series", lambda c, v: F.transform(c, lambda x, t: F.when(~chosen(v, t), x)))
+    filled = hot_deck(samples.withColumn("series", hide), channels).filter("field_name = 'x'").select("sample_id", "var_id", F.col("t_pos").alias("t"), F.col("value").alias("filled"))
+    rows = prepared(samples, channels)
+    truth = channels_long(rows).filter("value is not null").join(rows.select("sample_id", "dataset"), "sample_id")
+    stats = truth.groupBy("dataset", "var_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    both = truth.filter(chosen(F.col("var_id"), F.col("t"))).join(filled, ["sample_id", "var_id", "t"]).join(stats, ["dataset", "var_id"]).filter("sd > 0")
+    gap = lambda c: F.avg(F.abs(F.col(c) - F.col("value")) / F.col("sd"))
+    return both.groupBy("dataset").agg(F.count("*").alias("n_cells"), gap("filled").alias("error_filled"), gap("mean").alias("error_mean"))

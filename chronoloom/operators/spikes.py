@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from chronoloom.operators.readings import known_readings
 
 MAD_SCALE = 1.4826
-#: Cells of one padded matrix, so that memory stays the same whatever the length of the series.
+#: Cells of one padded matrix, so that memory stays the same whatever the lengths of the series; one longer series has a matrix of its own.
 CELLS = 1_000_000
 
 
@@ -124,13 +124,31 @@ def per_channel(limits: pa.Array, row: np.ndarray, var: np.ndarray) -> np.ndarra
     return out
 
 
+def cuts(lines: np.ndarray, longest: np.ndarray, cells: int = CELLS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose padded matrix, lines of all its rows times the longest of them, has at most so many cells; a single larger
+    row is a range of its own."""
+    start, held, most = 0, 0, 0
+    for i, (n, k) in enumerate(zip(lines.tolist(), longest.tolist(), strict=True)):
+        if i > start and (held + n) * max(most, k) > cells:
+            yield start, i
+            start, held, most = i, 0, 0
+        held, most = held + n, max(most, k)
+    if start < len(lines):
+        yield start, len(lines)
+
+
 def chunks(batch: pa.RecordBatch, cells: int = CELLS) -> Iterator[pa.RecordBatch]:
-    """Slices of the batch of about so many cells of its series (a single longer record stays whole)."""
-    n = batch.num_rows
-    size = max(1, batch.column("series").nbytes // 8)
-    step = max(1, n * cells // max(size, cells))
-    for k in range(0, n, step):
-        yield batch.slice(k, step)
+    """Slices of the batch whose padded series have at most so many cells."""
+    series = batch.column("series")
+    lines = pc.fill_null(pc.list_value_length(series), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pa.types.is_list(series.type.value_type):
+        own = np.append(pc.fill_null(pc.list_value_length(series.flatten()), 0).to_numpy(zero_copy_only=False), 0)
+        first = np.cumsum(lines) - lines
+        longest = np.where(lines > 0, np.maximum.reduceat(own, np.minimum(first, len(own) - 1)), 0) if len(lines) else lines
+    else:
+        lines, longest = np.ones(len(lines), np.int64), lines
+    for a, b in cuts(lines, longest, cells):
+        yield batch.slice(a, b - a)
 
 
 def clean_matrix(batch: pa.RecordBatch, **how: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -1,54 +1,72 @@
 """Attribute-value rows into wide typed tables.
 
 The grid of entities and attributes is completed, the values are left-joined to it, each entity's cells are collected into an
-array in the order of the attributes, and the array's fixed places become columns through a cast to the type of each.
+array in the order of the attributes' positions, and the array's fixed places become columns through a cast to the type of each.
 
-Everything is keyed by (group, entity): the shuffle by group serves the latest-row aggregation, the group's attribute set and
-the collection into arrays. Defined results: rows with a null key or an unknown attribute are left out; of rows for one cell
-the latest counts (ties: a row with a value, then the larger value); a latest row without a value makes the cell empty; an
-attribute that never has a value in a group is not among the group's attributes; an empty input gives an empty table.
+The cells of an entity are at most one per known attribute, so the join is made inside the entity's row: one shuffle by group
+brings the versions of a cell together, entities with their stated cells are written once, and the attributes of a group, a
+bounded set, are aggregated from that table and joined to it. Defined results: rows with a null key or an unknown attribute are
+left out; of rows for one cell the latest counts (ties: a row with a value, then the larger value); a latest row without a value
+makes the cell empty; an attribute that never has a value in a group is not among the group's attributes; what a type can't hold is
+null; an empty input gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.functions.numbers import is_number, parse_number
 from chronoloom.operators.readings import known_readings
+from chronoloom.storage import materialize
 
 
-def complete_cells(cells: DataFrame, group: list[str], entity: list[str], attribute: str, value: str, version: str) -> DataFrame:
-    """The completed grid, one row per entity: group, entity, wanted (sorted attributes of its group) and found (sorted structs
-    of attribute and value). cells: one row per stated cell version."""
+def stated_cells(cells: DataFrame, group: list[str], entity: list[str], attribute: str, text: str, value: str, version: str, texts: bool = True) -> DataFrame:
+    """One row per entity: group, entity and found, the cells whose latest version states a value, as structs of name and text, sorted by
+    name. cells: one row per version of a cell, with its text and its value, null if the text states none. texts: False leaves the
+    texts out (null), so that they are not shuffled."""
     keys = [*group, *entity]
     rank = F.struct(F.col(version), F.col(value).isNotNull(), F.col(value))
-    newest = cells.repartition(*group).groupBy(*keys, attribute).agg(F.max_by(value, rank).alias(value))
-    pair = F.when(F.col(value).isNotNull(), F.struct(F.col(attribute).alias("name"), F.col(value).alias("value")))
-    rows = newest.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("found"))
-    # The attributes of a group are at most the known ones, so the set is bounded, however many rows the group has.
+    kept = F.max_by(text, rank) if texts else F.lit(None).cast("string")
+    newest = cells.repartition(*group).groupBy(*keys, attribute).agg(kept.alias(text), F.max_by(F.col(value).isNotNull(), rank).alias("stated"))
+    pair = F.when(F.col("stated"), F.struct(F.col(attribute).alias("name"), F.col(text).alias("text")))
+    return newest.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("found"))
+
+
+def completed(stated: DataFrame, group: list[str]) -> DataFrame:
+    """stated with wanted: the sorted attributes of the row's group, those with a value in any of its entities."""
+    rows = materialize(stated, "cells")
     names = rows.select(*group, F.explode("found.name").alias("name")).groupBy(*group).agg(F.array_sort(F.collect_set("name")).alias("wanted"))
     return rows.join(names, group, "left").withColumn("wanted", F.coalesce("wanted", F.array().cast("array<string>")))
 
 
 def empty_cells(grid: DataFrame, attribute: str) -> DataFrame:
-    """The cells of the grid without a value, one row each."""
+    """The cells of the completed grid without a value, one row each: the left join's rows without a partner."""
     keys = [c for c in grid.columns if c not in ("wanted", "found")]
     gaps = F.array_except("wanted", F.coalesce(F.col("found.name"), F.array().cast("array<string>")))
     return grid.select(*keys, F.explode(gaps).alias(attribute))
 
 
-def wide_table(grid: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """One row per entity with a column of the given type for each attribute: the values are laid out as an array in the order
-    of columns, and its fixed places are cast; what a type can't hold becomes null."""
-    keys = [c for c in grid.columns if c not in ("wanted", "found")]
-    lookup = F.map_from_entries("found")
-    laid = grid.select(*keys, F.transform(F.array(*map(F.lit, columns)), lambda name: F.try_element_at(lookup, name)).alias("cells"))
+def wide_table(stated: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """One row per entity with a column of the given type for each attribute. The entity's line of the grid is the array of all
+    attributes in the order of their positions (that of columns); the stated texts are left-joined to it, and fixed places of the
+    result are cast to the type of each."""
+    keys = [c for c in stated.columns if c not in ("wanted", "found")]
+    known = F.map_from_entries("found")
+    line = F.transform(F.array(*map(F.lit, columns)), lambda name: F.try_element_at(known, name))
+    laid = stated.select(*keys, line.alias("cells")).withColumn("numbers", F.transform("cells", parse_number))
     taken = {k.lower() for k in keys}
     named = {name: f"{name}_" if name.lower() in taken else name for name in columns}
-    return laid.select(*keys, *(F.get("cells", F.lit(i)).try_cast(kind).alias(named[name]) for i, (name, kind) in enumerate(columns.items())))
+    place = lambda i, kind: F.get("numbers" if is_number(kind) else "cells", F.lit(i)).try_cast(kind)
+    return laid.select(*keys, *(place(i, kind).alias(named[name]) for i, (name, kind) in enumerate(columns.items())))
+
+
+def reading_cells(readings: DataFrame, sensors: DataFrame, texts: bool = True) -> DataFrame:
+    """The stated cells of EEG readings: entities are (rec_id, trail_num, sample_num), attributes the known sensors."""
+    known = known_readings(readings, sensors).select("rec_id", "trail_num", "sample_num", "sensor_pos", "sensor_val", "val", "loaded_at")
+    return stated_cells(known, ["rec_id", "trail_num"], ["sample_num"], "sensor_pos", "sensor_val", "val", "loaded_at", texts)
 
 
 def reading_grid(readings: DataFrame, sensors: DataFrame) -> DataFrame:
-    """The completed grid of EEG readings: entities are (rec_id, trail_num, sample_num), attributes the known sensors."""
-    known = known_readings(readings, sensors).select("rec_id", "trail_num", "sample_num", "sensor_pos", "val", "loaded_at")
-    return complete_cells(known, ["rec_id", "trail_num"], ["sample_num"], "sensor_pos", "val", "loaded_at")
+    """The completed grid of EEG readings; the attributes of a trial are those with a value in it."""
+    return completed(reading_cells(readings, sensors, texts=False), ["rec_id", "trail_num"])

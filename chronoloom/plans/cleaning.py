@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators.hotdeck import hot_deck
+from chronoloom.operators.hotdeck import hot_deck, masked_error
 from chronoloom.operators.spikes import implausible_readings
-from chronoloom.operators.widen import empty_cells, reading_grid, wide_table
+from chronoloom.operators.widen import empty_cells, reading_cells, reading_grid, wide_table
 from chronoloom.storage import table
 
 
@@ -29,10 +29,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_wide(spark: SparkSession, d: str) -> DataFrame:
-    """One row per recording, trial and sample with a double column per sensor of the fixed sensor table."""
+    """One row per recording, trial and sample with a column per sensor of the sensor table, of the type that the sensor's unit has."""
     sensors = table(spark, d, "sensors")
-    columns = {r[0]: "double" for r in sensors.select("sensor_pos").distinct().orderBy("sensor_pos").limit(5000).collect()}
-    return wide_table(reading_grid(table(spark, d, "eeg_readings"), sensors), columns)
+    kinds = {"": "string"}  # a unit makes a number; what has none stays text
+    rows = sensors.groupBy("sensor_pos").agg(F.max(F.coalesce("unit", F.lit(""))).alias("unit")).orderBy("sensor_pos").collect()  # the columns to be
+    return wide_table(reading_cells(table(spark, d, "eeg_readings"), sensors), {r.sensor_pos: kinds.get(r.unit, "double") for r in rows if r.sensor_pos is not None})
 
 
 def p6_filled(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +44,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_filled(spark, d).select("sample_id", "field_name", "var_id", "t_pos")
 
 
-QUERIES = {"p2_found": p2_found, "p2_rolling": p2_rolling, "p4_found": p4_found, "p4_wide": p4_wide, "p6_found": p6_found, "p6_filled": p6_filled}
+def p6_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Error of the filled values where known readings are hidden, beside that of the channel's mean."""
+    return masked_error(table(spark, d, "samples"), table(spark, d, "channels"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_rolling": p2_rolling, "p4_found": p4_found, "p4_wide": p4_wide, "p6_found": p6_found, "p6_filled": p6_filled, "p6_quality": p6_quality}
 
 #: Readings of known sensors with the number each row states.
 KNOWN_SQL = r"""

@@ -5,8 +5,8 @@ import pytest
 
 from chronoloom.functions.numbers import known_word, parse_number
 from chronoloom.operators.hotdeck import fill_block, hot_deck, weighted_median
-from chronoloom.operators.spikes import implausible, reading_spikes, sample_spikes
-from chronoloom.operators.widen import empty_cells, reading_grid, wide_table
+from chronoloom.operators.spikes import chunks, implausible, reading_spikes, sample_spikes
+from chronoloom.operators.widen import empty_cells, reading_cells, reading_grid, wide_table
 
 READINGS = "rec_id long, subject_id long, trail_num int, sensor_pos string, sample_num int, sensor_val string, loaded_at timestamp_ntz"
 SENSORS = "sensor_pos string, alt_name string, unit string, phys_lo double, phys_hi double"
@@ -136,12 +136,40 @@ def test_wide_table(spark, sensors):
     df = spark.createDataFrame([(*r, "clash") for r in rows], READINGS + ", wanted string")
     grid = reading_grid(df, sensors)
     assert sorted(map(tuple, empty_cells(grid, "sensor_pos").collect())) == [(1, 0, 1, "C3"), (1, 0, 1, "T7")]
-    wide = wide_table(grid, {"C3": "double", "T7": "int", "rec_id": "double"})
-    assert wide.columns == ["rec_id", "trail_num", "sample_num", "C3", "T7", "rec_id_"]
-    assert sorted(map(tuple, wide.collect()), key=str) == [(1, 0, 0, 2.5, 8, None), (1, 0, 1, None, None, None), (1, 1, 0, None, None, None)]
+    wide = wide_table(reading_cells(df, sensors), {"C3": "double", "T7": "int", "rec_id": "double", "AF3": "string"})
+    assert wide.columns == ["rec_id", "trail_num", "sample_num", "C3", "T7", "rec_id_", "AF3"]
+    assert sorted(map(tuple, wide.collect()), key=str) == [(1, 0, 0, 2.5, 8, None, None), (1, 0, 1, None, None, None, None), (1, 1, 0, None, None, None, None)]
     assert reading_grid(df.filter("false"), sensors).count() == 0
 
 
+def test_typed_columns_come_from_the_text(spark, sensors):
+    rows = [(1, 1, 0, "C3", 0, " 1.50 uV", at(1)), (1, 1, 0, "T7", 0, "2e1", at(1)), (1, 1, 0, "C3", 1, "0x10", at(1)), (1, 1, 0, "T7", 1, "7f", at(1)), (1, 1, 0, "C3", 2, "7.", at(1))]
+    cells = reading_cells(spark.createDataFrame(rows, READINGS), sensors)
+    got = sorted(map(tuple, wide_table(cells, {"C3": "string", "T7": "int"}).collect()))
+    assert got == [(1, 0, 0, " 1.50 uV", 20), (1, 0, 1, None, None), (1, 0, 2, "7.", None)]
+
+
+def test_chunks_are_cut_by_what_is_padded():
+    import pyarrow as pa
+
+    series = [[[0.0] * 100] * 2 for _ in range(99)] + [[[0.0] * 50_000], None, [None, [1.0]]]
+    batch = pa.RecordBatch.from_arrays([pa.array(series, pa.list_(pa.list_(pa.float64())))], ["series"])
+    parts = list(chunks(batch, 4_000))
+    assert sum(p.num_rows for p in parts) == 102
+    for p in parts:
+        lens = [len(c or []) for s in p.column(0).to_pylist() for c in s or []]
+        assert p.num_rows == 1 or len(lens) * max(lens) <= 4_000
+    flat = pa.RecordBatch.from_arrays([pa.array([[1.0]] * 50 + [[0.0] * 900], pa.list_(pa.float64()))], ["series"])
+    assert [p.num_rows for p in chunks(flat, 1_000)] == [50, 1]
+
+
+def test_implausible_readings_give_nothing_to_others(spark):
+    ch = spark.createDataFrame([("a", 0, "", -10.0, 10.0, -999.0, 6)], CHANNELS)
+    rows = [(k, "train", "a", [[1.0, 2.0, 999.0, 1.0, 2.0, 3.0]], "x", 0, 7, "d", "s", at(1)) for k in range(6)] + [(9, "train", "a", [[1.0, 2.0, None, 1.0, 2.0, 3.0]], "x", 0, 7, "d", "s", at(1))]
+    (got,) = hot_deck(spark.createDataFrame(rows, SAMPLES), ch).collect()
+    assert (got.sample_id, got.t_pos, got.method) == (9, 2, "series") and got.value == 2.0
+
+
 def test_weighted_median():
     v = np.array([[1.0, 5, 9], [2, 2, 8], [4, 0, 0]])
     w = np.array([[1.0, 1, 1], [0.1, 0.1, 5], [1, 0, 0]])
