@@ -19,11 +19,12 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
 
-def parse_number(c: Column) -> Column:
+def parse_number(c: Column, cast: Column | None = None) -> Column:
     """The number that a text states: decimal point or comma, sign, exponent, blanks and a trailing unit of microvolts are
-    understood; a comma beside a point divides thousands. Null if it states none (null, empty, words, NaN, infinite)."""
+    understood; a comma beside a point divides thousands. Null if it states none (null, empty, words, NaN, infinite). cast: c as a
+    double or null, if it is a column already."""
     # The cast alone serves nearly all rows; it also reads words, type suffixes and hexadecimal numbers, which are left to the pattern.
-    cast = c.try_cast("double")
+    cast = c.try_cast("double") if cast is None else cast
     plain = F.when((F.abs(cast) < F.lit(float("inf"))) & F.right(c, F.lit(1)).between("0", "9") & (F.instr(c, "x") == 0) & (F.instr(c, "X") == 0), cast)
     bare = F.regexp_replace(squeeze(c), r"(?i)[\s\p{Z}]*[uµμ]v$", "")
     bare = F.when(F.instr(bare, ".") > 0, F.replace(bare, F.lit(","), F.lit(""))).otherwise(F.replace(bare, F.lit(","), F.lit(".")))

@@ -138,6 +138,25 @@ def nearest_label(queries: DataFrame, rows: DataFrame, labels: DataFrame, metric
     return nearest(queries.select("id", "vec"), rows.select("id", "vec"), 1, metric).join(labels.select(F.col("id").alias("j"), "cluster"), "j").select(F.col("i").alias("id"), "cluster")
 
 
+class MultiDensity:
+    """Clusters at several radii, fitted on one set of rows and carried over to others: each takes the cluster of the nearest row."""
+
+    def __init__(self, k: int, diff: float, slope: float, low: float = 1e-12, high: float = 1e12, min_samples: int | None = None, metric: str = "l1") -> None:
+        self.how, self.metric = (k, diff, slope, low, high, min_samples, metric), metric
+
+    def fit(self, rows: DataFrame) -> "MultiDensity":
+        self.rows = materialize(rows.select("id", "vec"), "fitted")
+        self.labels = materialize(multi_density(self.rows, *self.how), "fitted")
+        return self
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """id, cluster."""
+        return nearest_label(rows, self.rows, self.labels, self.metric)
+
+    def fit_predict(self, rows: DataFrame) -> DataFrame:
+        return self.fit(rows).labels
+
+
 class DensityPeaks:
     """Density peaks over rows (id, vec). rho: gauss (sum of exp(-(d / dc)^2) over all points), count (points nearer than dc), nearest
     (from the mean distance of the nearest 5 %)."""

@@ -131,15 +131,20 @@ def stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy())
 
 
-def distances_from(queries: DataFrame, rows: DataFrame, metric: str = "l1") -> DataFrame:
-    """i, j, d of every query against every row. For a bounded set of queries; the result has queries x rows."""
+def all_pairs(metric: str) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """A kernel that gives i, j, d of all pairs of two blocks."""
     f = METRICS[metric]
 
     def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         d = f(stack(x.vec), stack(y.vec))
         return pd.DataFrame({"i": np.repeat(x.id.to_numpy(), len(y)), "j": np.tile(y.id.to_numpy(), len(x)), "d": d.ravel()})
 
-    return meet(queries, rows, kernel, "i long, j long, d double")
+    return kernel
+
+
+def distances_from(queries: DataFrame, rows: DataFrame, metric: str = "l1") -> DataFrame:
+    """i, j, d of every query against every row. For a bounded set of queries; the result has queries x rows."""
+    return meet(queries, rows, all_pairs(metric), "i long, j long, d double")
 
 
 def within(rows: DataFrame, eps: float, metric: str = "l1", strict: bool = False) -> DataFrame:

@@ -20,7 +20,8 @@ def sensor_names(sensors: DataFrame) -> DataFrame:
 def known_readings(readings: DataFrame, sensors: DataFrame) -> DataFrame:
     """Rows of known sensors: rec_id, trail_num, sensor_pos (as in sensors), sample_num, sensor_val as it is, val double or null, loaded_at,
     phys_lo, phys_hi. Rows with unknown or null names, or with a null key, are left out; other columns are dropped."""
-    keyed = readings.filter(F.col("rec_id").isNotNull() & F.col("trail_num").isNotNull() & F.col("sample_num").isNotNull()).select(
-        "rec_id", "trail_num", "sample_num", "sensor_val", F.upper(F.trim("sensor_pos")).alias("name_key"), parse_number(F.col("sensor_val")).alias("val"), "loaded_at"
+    cast = readings.withColumn("_cast", F.col("sensor_val").try_cast("double"))
+    keyed = cast.filter(F.col("rec_id").isNotNull() & F.col("trail_num").isNotNull() & F.col("sample_num").isNotNull()).select(
+        "rec_id", "trail_num", "sample_num", "sensor_val", F.upper(F.trim("sensor_pos")).alias("name_key"), parse_number(F.col("sensor_val"), F.col("_cast")).alias("val"), "loaded_at"
     )
     return keyed.join(sensor_names(sensors), "name_key").drop("name_key")

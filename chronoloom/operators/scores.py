@@ -91,6 +91,11 @@ def accuracy(table: DataFrame, most: int = 2_000) -> float:
     return float(m[np.arange(k), best_assignment(m.max() - m)].sum() / m.sum())
 
 
+def evaluation(table: DataFrame) -> DataFrame:
+    """One row: rand_index, nmi, accuracy."""
+    return scores(table).select("rand_index", "nmi", F.lit(accuracy(table)).alias("accuracy"))
+
+
 def silhouette(rows: DataFrame, metric: str = "l1") -> DataFrame:
     """id, cluster, s for rows (id, vec, cluster): mean distance to the nearest other cluster against that to its own; 0 for a
     point alone in its cluster. Distances leave a task as sums per point and cluster."""

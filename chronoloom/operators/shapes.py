@@ -65,6 +65,17 @@ def sbd_table(queries: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
     return meet(queries, rows, kernel, "i long, j long, var_id int, d double")
 
 
+def sbd_cube(queries: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
+    """The symmetric form of sbd_table: of each pair the record with the smaller id is ahead, and the value holds for both orders."""
+
+    def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        a, b, low = series_rows(x.vec, depth), series_rows(y.vec, depth), x.id.to_numpy()[:, None] <= y.id.to_numpy()[None, :]
+        d = [np.where(low, sbd(a[:, v], b[:, v]), sbd(b[:, v], a[:, v]).T) for v in range(depth)]
+        return pd.concat([pd.DataFrame({"i": np.repeat(x.id.to_numpy(), len(y)), "j": np.tile(y.id.to_numpy(), len(x)), "var_id": v, "d": m.ravel()}) for v, m in enumerate(d)])
+
+    return meet(queries, rows, kernel, "i long, j long, var_id int, d double")
+
+
 def dtw_table(queries: DataFrame, rows: DataFrame, depth: int, measure: str = "euclidean", root: bool = True) -> DataFrame:
     """i, j, d: (root of) the warping cost of every query against every row."""
 
@@ -259,6 +270,23 @@ def common_component_predict(rows: DataFrame, bases: list[np.ndarray], depth: in
     return rows.select("id", "vec").mapInPandas(place, "id long, cluster long")
 
 
+def farthest_members(rows: DataFrame, labels: DataFrame, bases: list[np.ndarray], depth: int, n: int = 8) -> DataFrame:
+    """cluster, rank (from 1), id, error: the n members of each cluster that its basis reconstructs worst, ties to the smaller id. Each
+    task keeps its own n of a cluster before they are ranked."""
+    from pyspark.sql import Window
+
+    def worst(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame({"cluster": [], "id": [], "error": []}).astype({"cluster": "int64", "id": "int64", "error": float})
+        for f in frames:
+            e = _errors(series_rows(f.vec, depth), bases)[np.arange(len(f)), f.cluster.to_numpy()]
+            held = pd.concat([held, pd.DataFrame({"cluster": f.cluster, "id": f.id, "error": e})]).sort_values(["cluster", "error", "id"], ascending=[True, False, True]).groupby("cluster").head(n)
+        yield held
+
+    best = rows.select("id", "vec").join(labels.select("id", "cluster"), "id").select("id", "vec", "cluster").mapInPandas(worst, "cluster long, id long, error double")
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("error"), "id"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= n).select("cluster", "rank", "id", "error")
+
+
 def common_component_clusters(rows: DataFrame, k: int, depth: int, rounds: int = 30, tol: float = 1e-8) -> DataFrame:
     """id, cluster of common_component_fit."""
     return common_component_fit(rows, k, depth, rounds, tol)[0]
@@ -466,12 +494,12 @@ def likelihood_distances(ll: DataFrame) -> DataFrame:
     return a.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.greatest(F.sum("gap") / 2, F.lit(0.0)).alias("d")).select(F.col("a").alias("i"), F.col("b").alias("j"), "d")
 
 
-def likelihood_divergence(ll: DataFrame) -> DataFrame:
-    """i, j, d of the row-normalised form p_ik = ll_ik / sum_k ll_ik (p_ii from 1): sum over k of p_i log(p_i / p_j) + p_j log(p_j / p_i); null
+def likelihood_divergence(ll: DataFrame, times: int = 1) -> DataFrame:
+    """i, j, d (times as much: the form that adds it up twice has times=2) of the row-normalised form p_ik = ll_ik / sum_k ll_ik (p_ii from 1): sum over k of p_i log(p_i / p_j) + p_j log(p_j / p_i); null
     where a ratio is not positive."""
     flat = ll.withColumn("ll", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.col("ll")))
     p = flat.join(flat.groupBy("i").agg(F.sum("ll").alias("z")), "i").select("i", F.col("j").alias("k"), (F.col("ll") / F.col("z")).alias("p"))
     q = p.select(F.col("i").alias("j"), "k", F.col("p").alias("q"))
     ratio = F.col("p") / F.col("q")
     term = F.when(ratio > 0, F.col("p") * F.log(ratio) - F.col("q") * F.log(ratio))
-    return p.join(q, "k").filter("i < j").groupBy("i", "j").agg(F.when(F.count(term) == F.count("*"), F.sum(term)).alias("d"))
+    return p.join(q, "k").filter("i < j").groupBy("i", "j").agg(F.when(F.count(term) == F.count("*"), F.sum(term) * times).alias("d"))

@@ -80,14 +80,19 @@ def cluster_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(scores.accuracy(contingency(spark, d)),)], "accuracy double")
+    return spark.createDataFrame([(round(scores.accuracy(contingency(spark, d)), 9),)], "accuracy double")
+
+
+def evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Rand index, mutual information and accuracy in one row."""
+    return _round(scores.evaluation(contingency(spark, d)), "rand_index", "nmi", "accuracy")
 
 
 def dbscan_quality(spark: SparkSession, d: str) -> DataFrame:
     """The whole path: distances, radius from a percentile, clusters, scores against the labels."""
     p = materialize(_points(spark, d), "points")
     found = density.dbscan(p.select("id", "vec"), distances.distance_percentile(p, 0.5), MIN_SAMPLES)
-    return scores.scores(scores.contingency(p.join(found, "id"), "cluster", "label"))
+    return _round(scores.scores(scores.contingency(p.join(found, "id"), "cluster", "label")), "rand_index", "adjusted_rand", "nmi", "csm")
 
 
 def silhouette(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +131,28 @@ def dpc_halo(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dpc_cutoff(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(density.DensityPeaks(_points(spark, d)).dc,)], "dc double")
+    return spark.createDataFrame([(round(float(density.DensityPeaks(_points(spark, d)).dc), 6),)], "dc double")
+
+
+def dpc_rho_count(spark: SparkSession, d: str) -> DataFrame:
+    """Densities as counts of points nearer than the cutoff."""
+    return _round(density.DensityPeaks(_points(spark, d), dc=DC, rho="count").rho, "rho")
+
+
+def dpc_rho_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Densities from the mean distance of the nearest 5 %."""
+    return _round(density.DensityPeaks(_points(spark, d), dc=DC, rho="nearest").rho, "rho")
+
+
+def dpc_delta_strict(spark: SparkSession, d: str) -> DataFrame:
+    """Distances to strictly denser points, by counts, which have many ties."""
+    return _round(density.DensityPeaks(_points(spark, d), dc=DC, rho="count").delta(strict=True).select("id", "delta"), "delta")
+
+
+def md_predict(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters at several radii of the rows whose id is not divisible by 20, carried over to the others."""
+    p = materialize(_points(spark, d), "points")
+    return density.MultiDensity(K, 0.01, 0.05).fit(p.filter("id % 20 <> 0")).predict(_asked(p))
 
 
 def md_cluster(spark: SparkSession, d: str) -> DataFrame:
@@ -150,6 +176,18 @@ def mc2pca(spark: SparkSession, d: str) -> DataFrame:
     return shapes.common_component_clusters(_points(spark, d), 6, DEPTH)
 
 
+def mc2pca_farthest(spark: SparkSession, d: str) -> DataFrame:
+    """The members of each common-component cluster that its basis reconstructs worst."""
+    p = materialize(_points(spark, d), "points")
+    labels, bases = shapes.common_component_fit(p, 6, DEPTH)
+    return shapes.farthest_members(p, labels, bases, DEPTH)
+
+
+def sbd_cube(spark: SparkSession, d: str) -> DataFrame:
+    p = _points(spark, d).select("id", "vec")
+    return _round(shapes.sbd_cube(_asked(p), p, DEPTH), "d")
+
+
 def sbd(spark: SparkSession, d: str) -> DataFrame:
     p = _points(spark, d).select("id", "vec")
     return _round(shapes.sbd_table(_asked(p), p, DEPTH), "d")
@@ -157,7 +195,7 @@ def sbd(spark: SparkSession, d: str) -> DataFrame:
 
 def dtw(spark: SparkSession, d: str) -> DataFrame:
     p = _points(spark, d).select("id", "vec")
-    return shapes.dtw_table(_asked(p), p, DEPTH)
+    return _round(shapes.dtw_table(_asked(p), p, DEPTH), "d")
 
 
 def range_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -223,16 +261,18 @@ def tsne_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hmm_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Likelihood distances between all rows: each has its own model, and every model scores every row."""
+    """Likelihood distances between all rows: each has its own model, and every model scores every row. divergence: the row-normalised
+    form, added up twice."""
     p = materialize(_points(spark, d).select("id", "vec"), "points")
-    return shapes.likelihood_distances(materialize(shapes.hmm_likelihoods(p, p, DEPTH), "ll"))
+    ll = materialize(shapes.hmm_likelihoods(p, p, DEPTH), "ll")
+    return shapes.likelihood_distances(ll).join(shapes.likelihood_divergence(ll, 2).withColumnRenamed("d", "divergence"), ["i", "j"], "left")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        pairwise_l1, pairwise_l2, range_counts, kdist_curve, percentile_eps, nn_predict, dbscan_labels, dbscan_predict, contingency, cluster_scores, cluster_accuracy, dbscan_quality,
-        silhouette, bic, dpc_rho, dpc_delta, dpc_centers, dpc_assign, dpc_halo, dpc_cutoff, md_cluster, kmeans, kshape, fcm, mc2pca, sbd, dtw, range_weights, memberships, fcfw, cspca_whole, cspca_windows, cspca_sequences, mc2pca_predict, fcfw_clusters, tsne_map, hmm_distance,
+        pairwise_l1, pairwise_l2, range_counts, kdist_curve, percentile_eps, nn_predict, dbscan_labels, dbscan_predict, contingency, cluster_scores, cluster_accuracy, evaluation, dbscan_quality,
+        silhouette, bic, dpc_rho, dpc_delta, dpc_centers, dpc_assign, dpc_halo, dpc_cutoff, dpc_rho_count, dpc_rho_nearest, dpc_delta_strict, md_cluster, md_predict, kmeans, kshape, fcm, mc2pca, mc2pca_farthest, sbd, sbd_cube, dtw, range_weights, memberships, fcfw, cspca_whole, cspca_windows, cspca_sequences, mc2pca_predict, fcfw_clusters, tsne_map, hmm_distance,
     )
 }
 
@@ -258,7 +298,45 @@ walk AS (SELECT id, id AS at FROM rho UNION ALL SELECT w.id, l.link FROM walk w
 assigned AS (SELECT walk.id, walk.at AS center FROM walk JOIN centers ON centers.id = walk.at)"""
 TABLE = "t AS (SELECT l_linenumber AS cluster, l_returnflag AS label, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL)"
 
+#: Warping costs row by row: the least cost of a cell is the running sum of the row's costs plus the least entry, from the row before, so far.
+STEPS = "\n".join(
+    f"""r{a} AS MATERIALIZED (SELECT i, j, b, s + min(m - s + c) OVER (PARTITION BY i, j ORDER BY b ROWS UNBOUNDED PRECEDING) AS w FROM (
+ SELECT c.i, c.j, c.b, c.c, sum(c.c) OVER (PARTITION BY c.i, c.j ORDER BY c.b ROWS UNBOUNDED PRECEDING) AS s, {"CASE WHEN c.b = 0 THEN 0 ELSE 1e300 END" if a == 0 else "least(p.w, coalesce(lag(p.w) OVER (PARTITION BY c.i, c.j ORDER BY c.b), 1e300))"} AS m
+ FROM cost c {"" if a == 0 else f"JOIN r{a - 1} p ON p.i = c.i AND p.j = c.j AND p.b = c.b"} WHERE c.a = {a})){"," if a < 15 else ""}"""
+    for a in range(16)
+)
+DTW = f"""WITH v AS (SELECT vec_id AS id, k AS t, list_transform(range(4), lambda c: embedding[c * 16 + k + 1]::DOUBLE) AS x FROM embeddings, range(16) r(k)),
+cost AS MATERIALIZED (SELECT a.id AS i, b.id AS j, a.t AS a, b.t AS b, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS c FROM v a, v b WHERE a.id % 20 = 0),
+{STEPS}
+SELECT i, j, round(sqrt(w), 6) + 0.0 AS d FROM r15 WHERE b = 15"""
+SCORES = """a AS (SELECT cluster, sum(n) AS n FROM t GROUP BY 1), b AS (SELECT label, sum(n) AS n FROM t GROUP BY 1),
+s AS (SELECT (SELECT sum(n) FROM t) AS n, (SELECT sum(n * (n - 1) / 2) FROM t) AS p, (SELECT sum(n * (n - 1) / 2) FROM a) AS pa, (SELECT sum(n * (n - 1) / 2) FROM b) AS pb,
+ (SELECT sum(n * ln(n)) FROM t) AS h, (SELECT sum(n * ln(n)) FROM a) AS ha, (SELECT sum(n * ln(n)) FROM b) AS hb,
+ (SELECT avg(m) FROM (SELECT max(2 * t.n / (a.n + b.n)) AS m FROM t JOIN a USING (cluster) JOIN b USING (label) GROUP BY cluster)) AS csm)
+SELECT n::BIGINT AS n, round((n * (n - 1) / 2 + 2 * p - pa - pb) / (n * (n - 1) / 2), 6) + 0.0 AS rand_index,
+ round((p - pa * pb / (n * (n - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (n * (n - 1) / 2)), 6) + 0.0 AS adjusted_rand,
+ round(2 * (ln(n) + h / n - ha / n - hb / n) / (2 * ln(n) - ha / n - hb / n), 6) + 0.0 AS nmi, round(csm, 6) + 0.0 AS csm FROM s"""
+#: The best one-to-one matching of three labels, by trying all.
+BEST = """best AS (SELECT max(x.n + y.n + z.n) AS n FROM full_table x, full_table y, full_table z WHERE x.label = 'A' AND y.label = 'N' AND z.label = 'R' AND x.cluster <> y.cluster AND x.cluster <> z.cluster AND y.cluster <> z.cluster),
+acc AS (SELECT best.n / (SELECT sum(n) FROM t) AS accuracy FROM best)"""
+FULL = "full_table AS (SELECT c.cluster, l.label, coalesce(n, 0) AS n FROM (SELECT DISTINCT cluster FROM t) c CROSS JOIN (SELECT DISTINCT label FROM t) l LEFT JOIN t USING (cluster, label))"
+
 ORACLE = {
+    "dtw": DTW,
+    "cluster_accuracy": f"WITH {TABLE}, {FULL}, {BEST} SELECT round(accuracy, 9) AS accuracy FROM acc",
+    "dbscan_quality": f"""WITH RECURSIVE {DBSCAN.replace(f"<= {EPS}", "<= (SELECT eps FROM q)").replace("core AS", "q AS MATERIALIZED (SELECT quantile_cont(d, 0.005) AS eps FROM dist WHERE d <> 0), core AS", 1)},
+t AS (SELECT cluster, label, count(*)::DOUBLE AS n FROM labels JOIN e USING (id) GROUP BY ALL), {SCORES}""",
+    "dpc_cutoff": f"""WITH RECURSIVE {E}, m AS (SELECT max(d) AS m FROM dist), n AS (SELECT count(*) AS n FROM e),
+shares AS MATERIALIZED (SELECT k, (SELECT count(*) FROM dist WHERE i < j AND d < m * k / 1024) / ((n - 1) * (n - 1) / 2) AS share FROM range(1, 1024) r(k), m, n),
+b AS (SELECT 1 AS step, 0 AS lo, 1024 AS hi, 512 AS mid UNION ALL
+ SELECT step + 1, CASE WHEN share > 0.02 THEN lo ELSE mid END, CASE WHEN share > 0.02 THEN mid ELSE hi END, CASE WHEN share > 0.02 THEN (lo + mid) // 2 ELSE (mid + hi) // 2 END
+ FROM b JOIN shares ON k = mid WHERE step < 10 AND NOT share BETWEEN 0.01 AND 0.02)
+SELECT round(m * arg_max(mid, step) / 1024, 6) AS dc FROM b, m GROUP BY m""",
+    "dpc_rho_count": f"WITH {E} SELECT i AS id, (count(*) FILTER (d < {DC}) - 1)::DOUBLE AS rho FROM dist GROUP BY i",
+    "dpc_rho_nearest": f"""WITH {E}, k AS (SELECT count(*) * 5 // 100 AS k FROM e), r AS (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM dist)
+SELECT i AS id, round(exp(-sum(d) / greatest(any_value(k) - 1, 1)), 6) + 0.0 AS rho FROM r, k WHERE r <= k GROUP BY i""",
+    "dpc_delta_strict": f"""WITH {E}, rho AS MATERIALIZED (SELECT i AS id, count(*) FILTER (d < {DC}) AS rho FROM dist GROUP BY i)
+SELECT a.id, round(coalesce(min(d.d) FILTER (b.rho > a.rho), max(d.d)), 6) + 0.0 AS delta FROM rho a JOIN dist d ON d.i = a.id JOIN rho b ON b.id = d.j GROUP BY a.id""",
     "pairwise_l1": f"WITH {SOME.format(n=20)} SELECT i, j, round(d, 6) + 0.0 AS d FROM dist",
     "pairwise_l2": f"WITH {SOME.format(n=20).replace('abs(z[1] - z[2])', '(z[1] - z[2]) * (z[1] - z[2])')} SELECT i, j, round(sqrt(d), 6) + 0.0 AS d FROM dist",
     "range_counts": f"WITH {E} SELECT i AS id, count(*) AS n FROM dist WHERE d <= {EPS} GROUP BY i",
@@ -294,6 +372,13 @@ v AS (SELECT id, u.k AS var_id, v[u.k * 16 + 1 : u.k * 16 + 16] AS x FROM e, (SE
 c AS (SELECT a.id AS i, b.id AS j, a.var_id, max(list_sum(list_transform(list_zip(a.x[s + 1 : 16], b.x[1 : 16 - s]), lambda z: z[1] * z[2]))) AS c,
  any_value(sqrt(list_sum(list_transform(a.x, lambda p: p * p))) * sqrt(list_sum(list_transform(b.x, lambda p: p * p)))) AS n
  FROM v a JOIN v b USING (var_id), range(15) r(s) WHERE a.id % 20 = 0 GROUP BY ALL)
+SELECT i, j, var_id, round(1 - c / n, 6) + 0.0 AS d FROM c""",
+    "evaluation": f"WITH {TABLE}, {FULL}, {BEST}, x AS (SELECT * FROM (WITH {SCORES})) SELECT rand_index, nmi, round(accuracy, 6) + 0.0 AS accuracy FROM x, acc",
+    "sbd_cube": f"""WITH {SOME.format(n=20).split('dist AS')[0].rstrip().rstrip(',')},
+v AS (SELECT id, u.k AS var_id, v[u.k * 16 + 1 : u.k * 16 + 16] AS x FROM e, (SELECT unnest([0, 1, 2, 3]) AS k) u),
+p AS (SELECT a.id AS i, b.id AS j, a.var_id, CASE WHEN a.id <= b.id THEN a.x ELSE b.x END AS x, CASE WHEN a.id <= b.id THEN b.x ELSE a.x END AS y FROM v a JOIN v b USING (var_id) WHERE a.id % 20 = 0),
+c AS (SELECT i, j, var_id, max(list_sum(list_transform(list_zip(x[s + 1 : 16], y[1 : 16 - s]), lambda z: z[1] * z[2]))) AS c,
+ any_value(sqrt(list_sum(list_transform(x, lambda p: p * p))) * sqrt(list_sum(list_transform(y, lambda p: p * p)))) AS n FROM p, range(15) r(s) GROUP BY i, j, var_id)
 SELECT i, j, var_id, round(1 - c / n, 6) + 0.0 AS d FROM c""",
     "range_weights": """WITH v AS (SELECT u.k AS var_id, unnest(embedding[u.k * 16 + 1 : u.k * 16 + 16])::DOUBLE AS x FROM embeddings, (SELECT unnest([0, 1, 2, 3]) AS k) u),
 r AS (SELECT var_id, max(x) - min(x) AS r FROM v GROUP BY 1) SELECT var_id, round(r / sum(r) OVER (), 6) + 0.0 AS weight FROM r""",

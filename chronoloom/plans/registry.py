@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronoloom.plans import cleaning, clustering, series
+from chronoloom.plans import cleaning, clustering, series, sources
 
-MODULES = [clustering, series, cleaning]
+MODULES = [cleaning, sources, clustering, series]
 
 
 def queries() -> dict:

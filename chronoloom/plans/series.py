@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import features, precision, series
+from chronoloom.operators import distances, features, precision, series
 from chronoloom.operators.tuning import config_grid as make_grid
 from chronoloom.plans.cleaning import CELLS_SQL
 from chronoloom.storage import materialize, table
@@ -91,6 +91,31 @@ def feature_embedding(spark: SparkSession, d: str) -> DataFrame:
     return features.embed(_features(spark, d), table(spark, d, "hyper_parameters"))
 
 
+def embedding_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distances between embeddings that keep all components, of the samples whose id is divisible by 20 to all of their dataset: they are
+    those of the scaled features."""
+    hyper = table(spark, d, "hyper_parameters").select("dataset", F.lit(200.0).alias("cumulativeenergysaving"))
+    emb = materialize(features.embed(_features(spark, d), hyper), "embedded")
+    rows = emb.select(F.col("sample_id").alias("id"), "dataset", F.col("emb").alias("vec"))
+    found = distances.meet(rows.filter("id % 20 = 0"), rows, distances.all_pairs("l2"), "i long, j long, d double", ["dataset"])
+    return found.withColumn("d", F.round("d", 5) + F.lit(0.0))
+
+
+def feature_transform(spark: SparkSession, d: str) -> DataFrame:
+    """Components fitted on the training samples, applied to the others."""
+    which = series.first_rows(table(spark, d, "samples"), "split").filter("split is not null")
+    rows = materialize(_features(spark, d).join(which, "sample_id"), "features")
+    fitted = features.Embedder(table(spark, d, "hyper_parameters")).fit(rows.filter("split = 'train'"))
+    return fitted.transform(rows.filter("split <> 'train'"))
+
+
+def precision_start(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of losses per dataset of sequences without iterations: the inverses of the covariances."""
+    hyper = table(spark, d, "hyper_parameters").withColumn("maxiters", F.lit(0))
+    out = precision.precision_sequences(_rows(spark, d), table(spark, d, "channels"), hyper)
+    return precision.summed_losses(out)
+
+
 def precision_sequence(spark: SparkSession, d: str) -> DataFrame:
     """The whole feature extraction: windows, covariances, precision sequences, with their losses."""
     return precision.precision_sequences(_rows(spark, d), table(spark, d, "channels"), table(spark, d, "hyper_parameters"))
@@ -112,7 +137,7 @@ QUERIES = {
     "minmax": _scaled(series.scale_min_max),
     "znorm": _scaled(series.scale_z),
     "series_l2": _scaled(series.scale_l2),
-    **{f.__name__: f for f in (label_encode, stratified_split, sliding_windows, window_cov, scalar_precision, feature_l2_norm, feature_cov, feature_embedding, precision_sequence, precision_embedding, config_grid)},
+    **{f.__name__: f for f in (label_encode, stratified_split, sliding_windows, window_cov, scalar_precision, feature_l2_norm, feature_cov, feature_embedding, embedding_distances, feature_transform, precision_start, precision_sequence, precision_embedding, config_grid)},
 }
 
 SPAN = "(PARTITION BY sample_id, var_id)"
@@ -153,6 +178,9 @@ SELECT sample_id, var_id, round((-(s + beta) + sqrt((s + beta) * (s + beta) + 24
 SELECT sample_id, f_id, round(CASE WHEN n > 0 THEN v / n ELSE 0 END, 6) + 0.0 AS value FROM fl JOIN n USING (dataset, f_id)""",
     "feature_cov": f"""WITH {FEATURES_SQL} SELECT a.dataset, a.f_id AS i, b.f_id AS j, round(covar_samp(a.v, b.v), 6) + 0.0 AS cov
 FROM fl a JOIN fl b ON a.sample_id = b.sample_id AND a.f_id <= b.f_id GROUP BY ALL""",
+    "embedding_distances": f"""WITH {FEATURES_SQL}, n AS (SELECT dataset, f_id, sqrt(sum(v * v)) AS n FROM fl GROUP BY ALL),
+s AS (SELECT sample_id, dataset, f_id, CASE WHEN n > 0 THEN v / n ELSE 0 END AS v FROM fl JOIN n USING (dataset, f_id))
+SELECT a.sample_id AS i, b.sample_id AS j, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 5) + 0.0 AS d FROM s a JOIN s b USING (dataset, f_id) WHERE a.sample_id % 20 = 0 GROUP BY ALL""",
     "config_grid": """SELECT w::DOUBLE AS width, s::DOUBLE AS stride, l::DOUBLE AS lamb, b::DOUBLE AS beta, e::DOUBLE AS energy
 FROM unnest([5, 10, 16, 20, 32, 40]) a(w), unnest([5, 10, 16, 20, 32, 40]) c(s), unnest([0.001, 0.01, 0.1]) f(l), unnest([0.001, 0.01, 0.1]) g(b), unnest([10, 20, 50]) h(e) WHERE w >= s""",
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def cache_path(folder: str, name: str, **parameters: object) -> str:
@@ -30,3 +31,14 @@ def append_log(df: DataFrame, path: str) -> None:
 
 def csv_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
+
+
+def joined_numbers(values: Column, separator: str, missing: str) -> Column:
+    return F.array_join(F.transform(values, lambda x: F.when(x.isNull() | F.isnan(x), F.lit(missing)).otherwise(x.cast("string"))), separator)
+
+
+def arff_rows(df: DataFrame, path: str, order: str) -> None:
+    """series and label_name as the data lines of a relational ARFF file, in the order of a column; part files sort by it too."""
+    body = F.array_join(F.transform("series", lambda c: joined_numbers(F.coalesce(c, F.array().cast("array<double>")), ",", "?")), "\\n")
+    line = F.concat(F.lit("'"), body, F.lit("',"), F.col("label_name"))
+    df.repartitionByRange(order).sortWithinPartitions(order).select(line.alias("value")).write.mode("overwrite").text(path)
