@@ -1,11 +1,12 @@
 """Series of samples: row-local cleaning and scaling, windows, covariances, features.
 
-A sample's series is one row (array of channels), so all of this runs without a shuffle: an Arrow batch is unpacked into one padded
+A sample's series is one row (array of channels), so all of this runs where the row lies (only repeated rows are moved, first_rows): an Arrow batch is unpacked into one padded
 matrix of channels, worked on with numpy, and packed again. Null, NaN and the channel's missing code are no readings.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,11 +15,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.spikes import channel_limits, channels_of, chunks, numeric_list, pad, per_channel
+from chronoloom.storage import materialize
 
 
 def first_rows(samples: DataFrame, *columns: str) -> DataFrame:
-    """The earliest loaded row of each sample_id (repeated rows are the same but for loaded_at)."""
-    return samples.filter("sample_id is not null").groupBy("sample_id").agg(F.min_by(F.struct(*columns), F.struct("loaded_at")).alias("r")).select("sample_id", "r.*")
+    """The earliest loaded row of each sample_id (repeated rows are the same but for loaded_at). Only the rows of repeated ids are
+    shuffled; the ids, without the rest of their rows, are counted and written first, so that Spark knows their size when it plans
+    the joins."""
+    rows = samples.filter("sample_id is not null").select("sample_id", *dict.fromkeys(["loaded_at", *columns]))
+    again = materialize(rows.groupBy("sample_id").count().filter("count > 1").select("sample_id"), "repeated")
+    single = rows.join(again, "sample_id", "left_anti").select("sample_id", *columns)
+    first = F.min_by(F.struct(*columns), F.struct("loaded_at"))
+    return single.unionByName(rows.join(again, "sample_id", "left_semi").groupBy("sample_id").agg(first.alias("r")).select("sample_id", "r.*"))
 
 
 def prepared(samples: DataFrame, channels: DataFrame) -> DataFrame:
@@ -60,7 +68,8 @@ def channels_long(rows: DataFrame, *steps: Callable[[np.ndarray, np.ndarray], np
         for whole in batches:
             for b in chunks(whole):
                 row, var, x, lens = unpacked(b)
-                with np.errstate(all="ignore"):
+                with np.errstate(all="ignore"), warnings.catch_warnings():
+                    warnings.simplefilter("ignore", RuntimeWarning)  # of channels without readings
                     for step in steps:
                         x = step(x, lens)
                 at, t = np.nonzero(np.arange(x.shape[1])[None, :] < lens[:, None])

@@ -74,6 +74,21 @@ read AS (SELECT c.sample_id, c.dataset, c.var_id, c.pos, k.phys_lo, k.phys_hi,
          FROM cells c LEFT JOIN channels k ON c.dataset = k.dataset AND c.var_id = k.var_id)"""
 
 ORACLE = {
+    "p2_rolling": f"""WITH {KNOWN_SQL}, {CELLS_SQL},
+readings AS (
+  SELECT 'eeg_readings' AS origin, NULL AS dataset, rec_id AS rec_key, trail_num, sensor_pos AS chan, sample_num AS pos, val, phys_lo, phys_hi FROM newest WHERE val IS NOT NULL
+  UNION ALL SELECT 'samples', dataset, sample_id, -1, var_id::VARCHAR, pos, val, phys_lo, phys_hi FROM read WHERE val IS NOT NULL),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER w AS n, lag(val) OVER w AS before, median(val) OVER (w ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS m
+  FROM readings WINDOW w AS (PARTITION BY origin, rec_key, trail_num, chan ORDER BY pos)),
+dev AS (SELECT a.origin, a.rec_key, a.trail_num, a.chan, a.n, 1.4826 * median(abs(b.val - a.m)) AS s FROM numbered a JOIN numbered b
+  ON a.origin = b.origin AND a.rec_key = b.rec_key AND a.trail_num = b.trail_num AND a.chan = b.chan AND b.n BETWEEN a.n - 7 AND a.n + 7 GROUP BY ALL),
+flag AS (SELECT numbered.*, abs(val - m) > 8 * s AS far FROM numbered JOIN dev USING (origin, rec_key, trail_num, chan, n)),
+runs AS (SELECT *, sum(CASE WHEN before = val THEN 0 ELSE 1 END) OVER (PARTITION BY origin, rec_key, trail_num, chan ORDER BY n) AS same,
+                n - row_number() OVER (PARTITION BY origin, rec_key, trail_num, chan, far ORDER BY n) AS stretch FROM flag),
+lens AS (SELECT *, count(*) OVER (PARTITION BY origin, rec_key, trail_num, chan, same) AS equal_len,
+                count(*) OVER (PARTITION BY origin, rec_key, trail_num, chan, far, stretch) AS far_len FROM runs)
+SELECT origin, dataset, chan, count(*) AS n_cases, count(DISTINCT (rec_key, trail_num)) AS n_samples FROM lens
+WHERE val < phys_lo OR val > phys_hi OR (far AND far_len <= 3) OR equal_len >= 8 GROUP BY ALL""",
     "p2_found": f"""WITH {KNOWN_SQL}, {CELLS_SQL},
 readings AS (
   SELECT 'eeg_readings' AS origin, rec_id AS rec_key, trail_num, sensor_pos AS chan, sample_num AS pos, val, phys_lo, phys_hi FROM newest WHERE val IS NOT NULL

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronoloom.plans import cleaning, clustering, series, sources
+from chronoloom.plans import cleaning, clustering, series, sources, streams
 
-MODULES = [cleaning, sources, clustering, series]
+MODULES = [cleaning, sources, streams, clustering, series]
 
 
 def queries() -> dict:
