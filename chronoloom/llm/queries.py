@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,6 +140,10 @@ SHAPES = {
 }
 FOREIGN = "".join(chr(int(x, 16)) for codes in SHAPES.values() for x in codes.split())
 LATIN = "".join(shape * len(codes.split()) for shape, codes in SHAPES.items())
+#: Composed letters on such a shape, by the rule of their decomposition.
+COMPOSED = {chr(i): unicodedata.normalize("NFC", LATIN[FOREIGN.index(p[0])] + p[1:]) for i in range(0x370, 0x500) if len(p := unicodedata.normalize("NFD", chr(i))) > 1 and p[0] in FOREIGN}
+COMPOSED = {k: v for k, v in COMPOSED.items() if len(v) == 1}
+FOREIGN, LATIN = FOREIGN + "".join(COMPOSED), LATIN + "".join(COMPOSED.values())
 
 
 def _look_sql(c: str) -> str:
@@ -200,3 +206,12 @@ SELECT DISTINCT a.doc_id, b.item_id FROM g a JOIN g b ON a.g = b.g AND a.doc_id
     "p10_found": f"""WITH c AS (SELECT doc_id, text, {_look_sql('text')} AS k FROM documents WHERE text IS NOT NULL)
 SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM c a JOIN c b ON a.k = b.k AND a.doc_id < b.doc_id AND a.text <> b.text WHERE regexp_matches(a.k, '\\S')""",
 }
+
+ORACLE["p5_report"] = f"""WITH pairs AS ({ORACLE["p5_found"]}),
+once AS (SELECT DISTINCT ON (sample_id) sample_id, dataset, split FROM samples WHERE sample_id IS NOT NULL AND split IN ('train', 'test') ORDER BY sample_id, dataset, split),
+hit AS (SELECT sample_id, count(*) AS n FROM (SELECT sample_a AS sample_id FROM pairs UNION ALL SELECT sample_b FROM pairs) GROUP BY 1)
+SELECT dataset, split, count(*) AS n_samples, count(n) AS n_overlapping, coalesce(sum(n), 0)::BIGINT AS n_pairs FROM once LEFT JOIN hit USING (sample_id) GROUP BY ALL"""
+ORACLE["p10_classes"] = f"""WITH c AS (SELECT doc_id, text, {_look_sql('text')} AS k FROM documents WHERE text IS NOT NULL),
+g AS (SELECT k, min(doc_id) AS class_id, count(DISTINCT text) AS kinds FROM c WHERE regexp_matches(k, '\\S') GROUP BY k HAVING count(DISTINCT text) > 1)
+SELECT doc_id, class_id, kinds FROM c JOIN g USING (k)"""
+ORACLE["p10_canonical"] = f"SELECT doc_id, {_look_sql('text')} AS canonical, coalesce({_look_sql('text')} <> text, false) AS changed FROM documents"
