@@ -25,10 +25,15 @@ def stated_cells(cells: DataFrame, group: list[str], entity: list[str], attribut
     """One row per entity: group, entity and found, the cells whose latest version states a value, as structs of name and text, sorted by
     name. cells: one row per version of a cell, with its text and its value, null if the text states none. texts: False leaves the
     texts out (null), so that they are not shuffled."""
-    keys = [*group, *entity]
-    rank = F.struct(F.col(version), F.col(value).isNotNull(), F.col(value))
-    kept = F.max_by(text, rank) if texts else F.lit(None).cast("string")
-    newest = cells.repartition(*group).groupBy(*keys, attribute).agg(kept.alias(text), F.max_by(F.col(value).isNotNull(), rank).alias("stated"))
+    keys, has = [*group, *entity], F.col(value).isNotNull()
+    if texts:
+        rank = F.struct(F.col(version), has, F.col(value))
+        newest = cells.repartition(*group).groupBy(*keys, attribute).agg(F.max_by(text, rank).alias(text), F.max_by(has, rank).alias("stated"))
+    else:  # figures of fixed width, so that they are aggregated by hash: is the latest version one with a value?
+        flags = cells.select(*keys, attribute, version, has.alias("_has")).repartition(*group).groupBy(*keys, attribute)
+        last = flags.agg(F.max(version).alias("_last"), F.max(F.when(F.col("_has"), F.col(version))).alias("_with"), F.max("_has").alias("_any"))
+        stated = F.coalesce(F.col("_with") >= F.col("_last"), F.col("_last").isNull() & F.col("_any"))
+        newest = last.select(*keys, attribute, F.lit(None).cast("string").alias(text), stated.alias("stated"))
     pair = F.when(F.col("stated"), F.struct(F.col(attribute).alias("name"), F.col(text).alias("text")))
     return newest.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("found"))
 
@@ -54,7 +59,7 @@ def wide_table(stated: DataFrame, columns: dict[str, str]) -> DataFrame:
     keys = [c for c in stated.columns if c not in ("wanted", "found")]
     known = F.map_from_entries("found")
     line = F.transform(F.array(*map(F.lit, columns)), lambda name: F.try_element_at(known, name))
-    laid = stated.select(*keys, line.alias("cells")).withColumn("numbers", F.transform("cells", parse_number))
+    laid = stated.select(*keys, line.alias("cells")).withColumn("numbers", F.transform("cells", lambda x: parse_number(x)))
     taken = {k.lower() for k in keys}
     named = {name: f"{name}_" if name.lower() in taken else name for name in columns}
     place = lambda i, kind: F.get("numbers" if is_number(kind) else "cells", F.lit(i)).try_cast(kind)

@@ -142,6 +142,14 @@ def test_wide_table(spark, sensors):
     assert reading_grid(df.filter("false"), sensors).count() == 0
 
 
+def test_latest_version_with_and_without_texts(spark, sensors):
+    rows = [(1, 1, 0, "C3", 0, "1", None), (1, 1, 0, "C3", 1, "1", None), (1, 1, 0, "C3", 1, "", at(1)), (1, 1, 0, "C3", 2, "1", at(2)), (1, 1, 0, "C3", 2, "", at(2)), (1, 1, 0, "C3", 3, "", at(3)), (1, 1, 0, "C3", 3, "2", at(1)), (1, 1, 0, "C3", 4, "", None), (1, 1, 0, "C3", 5, "", at(1)), (1, 1, 0, "C3", 5, "4", at(2))]
+    df = spark.createDataFrame(rows, READINGS)
+    for texts in (True, False):
+        got = {r.sample_num for r in reading_cells(df, sensors, texts).collect() if r.found}
+        assert got == {0, 2, 5}
+
+
 def test_typed_columns_come_from_the_text(spark, sensors):
     rows = [(1, 1, 0, "C3", 0, " 1.50 uV", at(1)), (1, 1, 0, "T7", 0, "2e1", at(1)), (1, 1, 0, "C3", 1, "0x10", at(1)), (1, 1, 0, "T7", 1, "7f", at(1)), (1, 1, 0, "C3", 2, "7.", at(1))]
     cells = reading_cells(spark.createDataFrame(rows, READINGS), sensors)
