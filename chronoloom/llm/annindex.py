@@ -416,7 +416,10 @@ class Index:
         lists = more.groupBy("cid").agg(F.collect_list(F.struct("d", "near")).alias("more"))  # at most the visits of one class times k
         both = own.select("cid", "near", "k_nearest").join(lists, "cid", "left")
         every = F.array_sort(F.array_distinct(F.concat("near", F.coalesce("more", F.array().cast("array<struct<d: double, near: bigint>>")))))
-        return both.select("cid", F.slice(every, F.lit(1), F.col("k_nearest") + 1).alias("near"))
+        done = materialize(both.select("cid", F.slice(every, F.lit(1), F.col("k_nearest") + 1).alias("near")), "lists")
+        release(own)
+        release(visits)
+        return done
 
 
 def neighbours(ctrans: DataFrame, hyper: DataFrame, budget: dict[str, float] | None = None) -> DataFrame:
@@ -426,7 +429,7 @@ def neighbours(ctrans: DataFrame, hyper: DataFrame, budget: dict[str, float] | N
 
 
 def index_neighbours(index: Index, budget: dict[str, float]) -> DataFrame:
-    lists = materialize(index.nearest(budget), "lists")
+    lists = index.nearest(budget)
     members = materialize(index.members(), "members")
     most = index.rows.agg(F.max("k_nearest")).first()[0] or 0
     few = members.withColumn("rank", F.row_number().over(Window.partitionBy("cid").orderBy("sample_id"))).filter(F.col("rank") <= int(most) + 1)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators.distances import meet
 from chronoloom.operators.spikes import channel_limits, chunks, clean_matrix, numeric_list, pad
-from chronoloom.storage import materialize
+from chronoloom.storage import materialize, release
 
 SEED, LEAST_WORD, COVER, SHIFT, WIDE, SAMPLE, EVERY, FEW = 8, 3, 12, 3, 0.5, 8, 2, 24
 MATCHES = 2_000_000
@@ -488,6 +488,7 @@ def class_overlaps(samples: DataFrame, channels: DataFrame, shard: int = SHARD,
     classes = materialize(classes.mapInArrow(_searchable, "rep long, dataset string, split string, digest binary, width int, cells array<double>, searchable boolean"), "classes")
     own = records.groupBy("sample_id").agg(F.min(F.struct("dataset", "split", "digest")).alias("k")).select("sample_id", "k.*")
     members = materialize(own.join(classes.select("dataset", "split", "digest", "rep"), ["dataset", "split", "digest"]).select("sample_id", "rep"), "members")
+    release(records)
     counts = classes.groupBy("dataset").agg(F.greatest(F.ceil(F.count_if(F.col("split") == "train") / block), F.lit(1)).alias("blocks"), F.greatest(F.ceil(F.count_if(F.col("split") == "test") / shard), F.lit(1)).alias("shards"))  # one row per dataset
     placed = classes.filter("searchable").select("rep", "dataset", "split", "width", "cells").join(counts, "dataset")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -498,13 +499,18 @@ def class_overlaps(samples: DataFrame, channels: DataFrame, shard: int = SHARD,
     found = asked.groupBy("dataset", "shard", "block").cogroup(held.groupBy("i_dataset", "i_shard", "i_block")).applyInArrow(_searched, "train long, test long, shift int")
     a = classes.filter("split = 'train'").select(F.col("rep").alias("train"), "width", "cells")
     b = classes.filter("split = 'test'").select(F.col("rep").alias("test"), F.col("width").alias("t_width"), F.col("cells").alias("t_cells"))
-    pairs = materialize(found, "candidates").join(a, "train").join(b, "test").mapInArrow(_compared, "train long, test long")
+    candidates = materialize(found, "candidates")
+    release(index)
+    pairs = candidates.join(a, "train").join(b, "test").mapInArrow(_compared, "train long, test long")
     rest = classes.filter("not searchable")
     if not rest.isEmpty():
         side = lambda df, s: df.filter(F.col("split") == s).select(F.col("rep").alias("id"), F.col("cells").alias("vec"), "width", "dataset")
         for train, test in ((side(classes, "train"), side(rest, "test")), (side(rest, "train"), side(classes.filter("searchable"), "test"))):
             pairs = pairs.unionByName(meet(train, test, _directly, "train long, test long", ["dataset"], rows=512))
-    return materialize(pairs.distinct(), "pairs"), members
+    done = materialize(pairs.distinct(), "pairs")
+    release(candidates)
+    release(classes)
+    return done, members
 
 
 def split_overlaps(samples: DataFrame, channels: DataFrame, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
