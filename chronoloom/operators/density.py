@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators.distances import METRICS, k_distances, meet, meet_self, nearest, nearest_within, stack, within
 from chronoloom.operators.graphs import components
-from chronoloom.storage import materialize, materialize_measured
+from chronoloom.storage import materialize, materialize_measured, release
 
 
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
@@ -117,11 +117,12 @@ def multi_density(rows: DataFrame, k: int, diff: float, slope: float, low: float
     curve = curve_table(rows, k, metric)
     values = curve.orderBy("rank").select("k_dis").toArrow()["k_dis"].to_numpy()
     need = min_samples if min_samples is not None else (4 if n == 80 else 3)
-    left, parts = rows.select("id", "vec"), []
+    left, parts, scraps = rows.select("id", "vec"), [], []
     for number, r in enumerate(radii(values, diff, slope, low, high)):
         found = materialize(dbscan(left, r, need, metric), "density")
         parts.append(found.filter("cluster >= 0").select("id", F.lit(number).alias("pass"), "cluster"))
         left = materialize(left.join(found.filter("cluster = -1").select("id"), "id"), "left")
+        scraps += [found, left]
         if left.isEmpty():
             break
     rest = left.select("id", F.lit(-1).alias("pass"), F.lit(-1).cast("long").alias("cluster"))
@@ -129,6 +130,8 @@ def multi_density(rows: DataFrame, k: int, diff: float, slope: float, low: float
     for p in parts:
         every = every.unionByName(p)
     every = materialize(every, "clusters")
+    for t in scraps:
+        release(t)
     codes = numbered(every.select("pass", "cluster").distinct(), ["pass", "cluster"], "code")
     return every.join(codes, ["pass", "cluster"]).select("id", F.col("code").cast("long").alias("cluster"), (F.col("pass") == -1).alias("is_noise"))
 

@@ -63,7 +63,7 @@ def test_meeting_in_many_blocks(spark):
 def test_distance_percentile(spark, percent):
     x = np.round(blobs(3, 15), 1)
     d = np.abs(x[:, None] - x[None]).sum(2).ravel()
-    assert np.isclose(distance_percentile(frame(spark, x), percent, bins=16), np.percentile(d[d != 0], percent))
+    assert np.isclose(distance_percentile(frame(spark, x), percent), np.percentile(d[d != 0], percent))
 
 
 def test_components(spark):
@@ -313,6 +313,27 @@ def test_whole_path(spark):
     rows = series.prepared(as_samples(made, "fake"), ch)
     hyper = spark.createDataFrame([("fake", 20, 20, 5e-3, 5e-3, 60, 300, 80, 3, 0.5, 0.5, 1e-12, 1e12)], "dataset string, width int, stride int, lamb double, beta double, maxiters int, maxiters_admm int, cumulativeenergysaving int, k_nearest int, diff_threshold double, slope_threshold double, k_dis_low double, k_dis_high double")
     got = {r.method: r for r in compared(rows, ch, hyper).collect()}
-    assert set(got) == {"several radii", "one radius", "k-means"} and all(r.n == 12 and 0 <= r.rand_index <= 1 for r in got.values())
+    assert set(got) == {"several radii", "one radius", "k-means", "k-shape"} and all(r.n == 12 and 0 <= r.rand_index <= 1 for r in got.values())
     trials = [r for df in tuning.trial(rows, ch, hyper) for r in df.collect()]
     assert {r.method for r in trials} == {"k_means", "dbscan"} and all(-1 <= r.silhouette <= 1 for r in trials)
+
+
+def test_carried_over_clusters_and_farthest_members(spark):
+    from chronoloom.operators import density, shapes
+
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(0, 0.2, (30, 2)), rng.normal(9, 0.2, (30, 2))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    fitted = density.MultiDensity(4, 0.5, 0.5).fit(rows.filter("id % 5 <> 0"))
+    known = {r.id: r.cluster for r in fitted.labels.collect()}
+    for r in fitted.predict(rows.filter("id % 5 = 0")).collect():
+        near = min(known, key=lambda j: (np.abs(x[j] - x[r.id]).sum(), j))
+        assert r.cluster == known[near]
+    wide = spark.createDataFrame([(i, rng.standard_normal(12).tolist()) for i in range(20)], "id long, vec array<double>")
+    labels, bases = shapes.common_component_fit(wide, 2, 3)
+    got = shapes.farthest_members(wide, labels, bases, 3, n=4).collect()
+    error = {r.id: shapes._errors(np.array(r.vec).reshape(1, 3, 4), bases)[0] for r in wide.collect()}
+    own = {r.id: r.cluster for r in labels.collect()}
+    for c in set(own.values()):
+        want = sorted((i for i in own if own[i] == c), key=lambda i: (-error[i][c], i))[:4]
+        assert [r.id for r in sorted((r for r in got if r.cluster == c), key=lambda r: r["rank"])] == want

@@ -143,3 +143,73 @@ def test_streaming_windows_match_batch(spark, tmp_path):
     assert all(np.allclose(got[s, w], want[s, w]) for s, w in got)
     ev = spark.createDataFrame([(datetime.datetime(2024, 1, 1, 0, m), "a", 1.0) for m in range(0, 30, 7)], "ts timestamp, k string, v double")
     assert windowed_rates(ev, "ts", "10 minutes", "10 minutes", "5 minutes", "k", value="v").agg({"n": "sum"}).first()[0] == 5
+
+
+def test_components_by_samples_and_by_iteration(spark):
+    """More features than the driver takes: the same embeddings, up to the sign, as from the covariance."""
+    from chronoloom.operators import features
+
+    rng = np.random.default_rng(3)
+    basis = rng.standard_normal((4, 60)) * np.array([9.0, 5, 3, 1])[:, None]
+    x = rng.standard_normal((40, 4)) @ basis + 0.01 * rng.standard_normal((40, 60)) + 2
+    df = spark.createDataFrame([(i * 7, "a", v.tolist()) for i, v in enumerate(x)], "sample_id long, dataset string, feature array<double>")
+    hyper = spark.createDataFrame([("a", 95)], "dataset string, cumulativeenergysaving int")
+    scaled = x / np.sqrt((x * x).sum(0))
+    value, vector = np.linalg.eigh(np.cov(scaled.T))
+    k = features.energy_rank(np.maximum(value[::-1], 0), 95)
+    want = scaled @ vector[:, ::-1][:, :k]
+    for matrix in (2_000, 50, 20):
+        got = {r.sample_id: r.emb for r in features.Embedder(hyper, matrix=matrix).fit_transform(df).collect()}
+        emb = np.array([got[i * 7] for i in range(40)])
+        assert emb.shape == want.shape and np.allclose(np.abs(emb), np.abs(want), atol=1e-5)
+    centred = features.embed(df, hyper, components=2, centred=True).collect()
+    assert np.allclose(np.mean([r.emb for r in centred], axis=0), 0, atol=1e-9) and len(centred[0].emb) == 2
+    whole = hyper.selectExpr("*", "false as dimension_reduce")
+    assert len(features.Embedder(whole).fit_transform(df).first().emb) == 60
+
+
+def test_fitted_components_serve_new_samples(spark):
+    from chronoloom.operators import features
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((30, 6))
+    df = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "sample_id long, dataset string, feature array<double>")
+    hyper = spark.createDataFrame([("a", 60)], "dataset string, cumulativeenergysaving int")
+    fitted = features.Embedder(hyper).fit(df.filter("sample_id < 20"))
+    new = x[20:] / np.sqrt((x[20:] ** 2).sum(0))
+    got = {r.sample_id: r.emb for r in fitted.transform(df.filter("sample_id >= 20")).collect()}
+    assert np.allclose([got[i] for i in range(20, 30)], new @ fitted.components["a"])
+
+
+def test_inverse_start_and_local_losses():
+    from chronoloom.operators import precision
+    from chronoloom.operators.series import packed, unpacked_symmetric
+
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal((2, 3, 4, 9))
+    cov = a @ a.swapaxes(-1, -2) / 9
+    theta = precision.descend(cov, 0.1, 0.1, 0, init="inverse")
+    assert np.allclose(unpacked_symmetric(theta, 4), np.linalg.inv(cov))
+    flat = precision.descend(np.zeros((1, 1, 2, 2)), 0.1, 0.1, 0, init="inverse")
+    assert np.isfinite(flat).all()
+    seen = []
+    precision.admm(cov[0], np.zeros((3, 10)), 0.1, 0.1, watch=lambda turn, loss: seen.append((turn, loss)))
+    assert [t for t, _ in seen[:3]] == [0, 1, 2] and seen[0][1].shape == (3, 2)
+    x = packed(np.eye(4))[None]
+    assert np.allclose(precision.local_losses(cov[0][:1], x, np.zeros((1, 10)), 0.1, 0.2), [[np.trace(cov[0][0]) + 0.3 * 4 + 0.2 * 4, np.trace(cov[0][0]) + 0.3 * 4]])
+
+
+def test_streamed_rows_in_any_order(spark):
+    """Rows that come before their turn wait; repeated rows are ignored."""
+    from chronoloom.plans.streams import _streamed
+    from chronoloom.streaming.windows import run_once, sliding_covariances
+
+    rng = np.random.default_rng(6)
+    rows = [(s, t, rng.standard_normal(2).tolist()) for s in (1, 2) for t in range(20)]
+    data = {(s, t): v for s, t, v in rows}
+    mixed = [rows[i] for i in rng.permutation(40)] + rows[:5]
+    got = {(r.sample_id, r.win_id): r.cov for r in run_once(sliding_covariances(_streamed(spark.createDataFrame(mixed, "sample_id long, t long, vec array<double>").repartition(5), 1), 8, 4)).collect()}
+    assert set(got) == {(s, w) for s in (1, 2) for w in range(4)}
+    for (s, w), c in got.items():
+        m = np.cov(np.array([data[s, t] for t in range(4 * w, 4 * w + 8)]).T)
+        assert np.allclose(c, [m[0, 0], m[0, 1], m[1, 1]])
