@@ -327,9 +327,9 @@ class Index:
         return budget
 
     def visiting(self, df: DataFrame, budget: dict[str, float] | None, cap: str, skip: dict[str, np.ndarray] | None = None) -> DataFrame:
-        """Each row of df (cid, dataset, vec, cap, ...) with each leaf it visits, written once. With a budget the row's own leaf
-        (column leaf) is left out, but for a leaf of several blocks. budget None: every leaf within the cap, but for leaves that
-        hold nothing but one component (skip: component of each leaf or -1), if it is the row's own (column comp)."""
+        """cid, dataset, leaf: the leaves that each row of df (cid, dataset, vec, cap, ...) visits, written once. With a budget the row's
+        own leaf (column leaf) is left out, but for a leaf of several blocks. budget None: every leaf within the cap, but for leaves
+        that hold nothing but one component (skip: component of each leaf or -1), if it is the row's own (column comp)."""
         big = self.leaf_rows
 
         def visit(g: pd.DataFrame, tree: Tree) -> pd.DataFrame:
@@ -343,17 +343,17 @@ class Index:
                 row, leaf = tree.visits(q, budget[name], within)
                 other = (leaf != g.leaf.to_numpy()[row]) | (tree.rows[leaf] > big)
                 row, leaf = row[other], leaf[other]
-            return g.iloc[row].assign(leaf=leaf.astype(np.int32))
+            return pd.DataFrame({"cid": g.cid.to_numpy()[row], "dataset": name, "leaf": leaf.astype(np.int32)})
 
-        schema = ", ".join(f"{c} {t}" for c, t in df.dtypes if c != "leaf") + ", leaf int"
-        return materialize(self.over_trees(df, lambda g, t: visit(g, t)[[c.split()[0] for c in schema.split(", ")]], schema), "visits")
+        return materialize(self.over_trees(df, visit, "cid long, dataset string, leaf int"), "visits")
 
-    def meeting(self, visits: DataFrame, hold: DataFrame, kernel, schema: str) -> DataFrame:
-        """kernel(visitors, rows) for each part of the visitors of a leaf and each block of its rows (hold: cid, dataset, leaf, vec, ...)."""
+    def meeting(self, visits: DataFrame, ask: DataFrame, hold: DataFrame, kernel, schema: str) -> DataFrame:
+        """kernel(visitors, rows) for each part of the visitors (visits: cid, dataset, leaf; ask: cid and what the kernel wants of them) of a
+        leaf and each block of its rows (hold: cid, dataset, leaf, vec, ...)."""
         keys = ["dataset", "leaf", "block", "part"]
         load = visits.groupBy("dataset", "leaf").agg(F.ceil(F.count("*") / VISITORS).alias("parts")).join(self.sizes(), ["dataset", "leaf"])
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        ask = visits.join(load, ["dataset", "leaf"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts"))).withColumn("block", every("cuts")).drop("parts", "cuts")
+        ask = visits.join(ask, "cid").join(load, ["dataset", "leaf"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts"))).withColumn("block", every("cuts")).drop("parts", "cuts")
         held = hold.join(load, ["dataset", "leaf"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("cuts"))).withColumn("part", every("parts")).drop("parts", "cuts")
         names = held.columns
         held = held.toDF(*(f"r_{c}" for c in names))
@@ -411,8 +411,8 @@ class Index:
                 parts.append(pd.DataFrame({"cid": part.cid.to_numpy()[rows[i]], "d": dist[i, j], "near": ids[near[i, j]]}))
             return pd.concat(parts)
 
-        visits = self.visiting(own.select("cid", "dataset", "vec", "leaf", "bound", "k_nearest"), budget, "bound")
-        more = self.meeting(visits, self.rows.select("cid", "dataset", "leaf", "vec"), search, "cid long, d double, near long")
+        visits = self.visiting(own.select("cid", "dataset", "vec", "leaf", "bound"), budget, "bound")
+        more = self.meeting(visits, own.select("cid", "vec", "bound", "k_nearest"), self.rows.select("cid", "dataset", "leaf", "vec"), search, "cid long, d double, near long")
         lists = more.groupBy("cid").agg(F.collect_list(F.struct("d", "near")).alias("more"))  # at most the visits of one class times k
         both = own.select("cid", "near", "k_nearest").join(lists, "cid", "left")
         every = F.array_sort(F.array_distinct(F.concat("near", F.coalesce("more", F.array().cast("array<struct<d: double, near: bigint>>")))))
