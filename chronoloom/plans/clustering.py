@@ -149,13 +149,13 @@ def dpc_delta_strict(spark: SparkSession, d: str) -> DataFrame:
     return _round(density.DensityPeaks(_points(spark, d), dc=DC, rho="count").delta(strict=True).select("id", "delta"), "delta")
 
 
-def md_predict(spark: SparkSession, d: str) -> DataFrame:
+def multi_density_predict(spark: SparkSession, d: str) -> DataFrame:
     """Clusters at several radii of the rows whose id is not divisible by 20, carried over to the others."""
     p = materialize(_points(spark, d), "points")
     return density.MultiDensity(K, 0.01, 0.05).fit(p.filter("id % 20 <> 0")).predict(_asked(p))
 
 
-def md_cluster(spark: SparkSession, d: str) -> DataFrame:
+def multi_density(spark: SparkSession, d: str) -> DataFrame:
     """Clusters at several radii found on the k-distance curve."""
     return density.multi_density(_points(spark, d), K, 0.01, 0.05, 1e-12, 1e12)
 
@@ -272,7 +272,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pairwise_l1, pairwise_l2, range_counts, kdist_curve, percentile_eps, nn_predict, dbscan_labels, dbscan_predict, contingency, cluster_scores, cluster_accuracy, evaluation, dbscan_quality,
-        silhouette, bic, dpc_rho, dpc_delta, dpc_centers, dpc_assign, dpc_halo, dpc_cutoff, dpc_rho_count, dpc_rho_nearest, dpc_delta_strict, md_cluster, md_predict, kmeans, kshape, fcm, mc2pca, mc2pca_farthest, sbd, sbd_cube, dtw, range_weights, memberships, fcfw, cspca_whole, cspca_windows, cspca_sequences, mc2pca_predict, fcfw_clusters, tsne_map, hmm_distance,
+        silhouette, bic, dpc_rho, dpc_delta, dpc_centers, dpc_assign, dpc_halo, dpc_cutoff, dpc_rho_count, dpc_rho_nearest, dpc_delta_strict, multi_density, multi_density_predict, kmeans, kshape, fcm, mc2pca, mc2pca_farthest, sbd, sbd_cube, dtw, range_weights, memberships, fcfw, cspca_whole, cspca_windows, cspca_sequences, mc2pca_predict, fcfw_clusters, tsne_map, hmm_distance,
     )
 }
 
