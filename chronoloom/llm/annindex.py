@@ -4,13 +4,14 @@ Vectors of one dataset are compared by L1 distance. Equal vectors are collapsed
 smallest sample_id), so that copies, however many, cost one row. Per dataset a tree is fitted on at most FIT_ROWS classes (a
 documented, bounded sample, chosen by hash) and every class is put into a leaf. A leaf that then holds more than LEAF_ROWS is
 split by a tree of its own, fitted on an executor, and so on until all leaves are small: the number of leaves grows with the rows,
-the rows of a leaf do not. Trees are sent to the workers in parts of at most TREE_BYTES (one dataset's at least), one pass over
+the rows of a leaf do not. Neighbouring leaves with at most PAGE rows together are a page, the unit in which rows are held and compared,
+while leaves, which are tighter, decide what is visited. Trees are sent to the workers in parts of at most TREE_BYTES (one dataset's at least), one pass over
 the vectors per part; they hold about 1 / LEAF of the numbers of the vectors.
 
-Search: every vector first meets the others of its own leaf, which bounds the distance of its k-th neighbour. A traversal then
+Search: every vector first meets the others of its own page, which bounds the distance of its k-th neighbour. A traversal then
 takes nodes from a priority queue, nearest centre first, passes over what by centre and radius can hold nothing within that
 bound, and yields leaves until a number of rows was visited that is calibrated per dataset: CALIBRATE vectors are compared with
-all rows, and the visited rows are doubled until their recall reaches RECALL. Visitors of a leaf are cut into parts of VISITORS
+all rows, and the visited rows are doubled until their recall reaches RECALL. Visitors of a page are cut into parts of VISITORS
 by their number, and a leaf that could not be split into blocks of LEAF_ROWS, so no task holds more than a part and a block.
 
 Defined results: a vector that is null, of another length than emb_len, or holds NaN or null is not usable, and neither is one
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from chronoloom.operators.distances import l1, meet
 from chronoloom.storage import materialize, release
 
-FIT_ROWS, LEAF, BRANCH, LEAF_ROWS, TREE_BYTES, VISITORS = 32_768, 320, 8, 1_024, 128 << 20, 8_192
+FIT_ROWS, LEAF, PAGE, BRANCH, LEAF_ROWS, TREE_BYTES, VISITORS = 32_768, 48, 512, 8, 1_024, 128 << 20, 8_192
 CALIBRATE, RECALL = 128, 0.999
 
 
@@ -63,7 +64,7 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 class Tree:
     """Nodes of one dataset in arrays: centre of each node, children (-1 filled), leaf number (-1: inner node). radius, rows: of
-    each leaf, once all rows are in."""
+    each leaf, once all rows are in; page: of each leaf, page_rows: of each page."""
 
     def __init__(self, x: np.ndarray, seed: int = 1, most: int = LEAF) -> None:
         rng = np.random.default_rng(seed)
@@ -93,6 +94,7 @@ class Tree:
         self.node_of[self.leaf[self.leaf >= 0]] = np.flatnonzero(self.leaf >= 0)
         self.radius, self.rows = np.zeros(self.leaves), np.zeros(self.leaves, np.int64)
         self.reach = np.full(len(self.leaf), np.inf)
+        self.page, self.page_rows = np.arange(self.leaves), np.zeros(self.leaves, np.int64)
 
     def graft(self, leaf: int, sub: "Tree") -> None:
         """Put a tree in the place of a leaf: its first leaf takes the leaf's number, its others new ones."""
@@ -107,8 +109,9 @@ class Tree:
         self.leaves += sub.leaves - 1
         self._settled()
 
-    def measured(self) -> None:
-        """How far from each node's centre its rows can lie, from the leaves upwards (children have larger numbers)."""
+    def measured(self, most: int = 0) -> None:
+        """How far from each node's centre its rows can lie, from the leaves upwards (children have larger numbers), and the pages: the
+        largest nodes of at most so many rows."""
         self.reach = np.full(len(self.leaf), -np.inf)
         full = np.flatnonzero(self.rows > 0)
         self.reach[self.node_of[full]] = self.radius[full]
@@ -116,6 +119,18 @@ class Tree:
             kids = self.kids[node][self.kids[node] >= 0]
             if len(kids):
                 self.reach[node] = (np.abs(self.centre[kids] - self.centre[node]).sum(1) + self.reach[kids]).max()
+        under = np.zeros(len(self.leaf), np.int64)
+        under[self.node_of] = self.rows
+        for node in range(len(self.leaf) - 1, -1, -1):
+            under[node] += under[self.kids[node][self.kids[node] >= 0]].sum()
+        root = np.full(len(self.leaf), -1)
+        for node in range(len(self.leaf)):
+            if root[node] < 0 and (under[node] <= most or self.leaf[node] >= 0):
+                root[node] = node
+            root[self.kids[node][self.kids[node] >= 0]] = root[node]
+        _, first, self.page = np.unique(root[self.node_of], return_index=True, return_inverse=True)
+        self.page = np.argsort(np.argsort(first))[self.page]  # numbered by their first leaves
+        self.page_rows = np.bincount(self.page, self.rows).astype(np.int64)
 
     def put(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Leaf of each row, by always taking the nearest child, and the distance from the leaf's centre."""
@@ -129,8 +144,8 @@ class Tree:
         return self.leaf[at], np.abs(self.centre[at] - x).sum(1)
 
     def visits(self, q: np.ndarray, most: float, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row of q, leaf) in best-bin-first order of each row, until the leaves hold `most` rows; without nodes that by their
-        centre and reach can hold nothing within the row's distance. Every row has a priority queue of its own (a line of `key`
+        """(row of q, leaf) in best-bin-first order of each row, until the leaves hold `most` rows (page_of() makes pages of them); without
+        nodes that by their centre and reach can hold nothing within the row's distance. Every row has a priority queue of its own (a line of `key`
         and `node`); one step takes the nearest node of all queues at once."""
         n = len(q)
         key, node = np.zeros((n, 1)), np.zeros((n, 1), np.int32)
@@ -164,6 +179,11 @@ class Tree:
                     key, node = np.take_along_axis(key, order, 1), np.take_along_axis(node, order, 1)
         return np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(leaves) if leaves else np.zeros(0, int)
 
+    def page_of(self, row: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, page) of the visits (row, leaf), once each."""
+        key = np.unique(row.astype(np.int64) * (len(self.page_rows) + 1) + self.page[leaf])
+        return key // (len(self.page_rows) + 1), key % (len(self.page_rows) + 1)
+
     def near_leaves(self, q: np.ndarray, within: np.ndarray) -> np.ndarray:
         """Boolean, rows of q x leaves: those that may hold something within the distance, by the triangle inequality."""
         return (l1(q, self.centre[self.node_of]) - self.radius[None, :] <= within[:, None]) & (self.rows > 0)[None, :]
@@ -210,7 +230,8 @@ class Index:
         return self.vectors.select("sample_id", "dataset", "vec").join(self.rows.select("dataset", "vec", "cid"), ["dataset", "vec"]).select("sample_id", "cid")
 
     def _refined(self, classes: DataFrame, fit_rows: int) -> DataFrame:
-        """All classes in leaves of at most leaf_rows: leaves with more are split by trees of their own until none can be split."""
+        """All classes with their place, the leaf, and their page (column leaf). Leaves of more than leaf_rows are split by trees of their own
+        until none can be split."""
         whole: set[tuple[str, int]] = set()  # leaves that a tree of their own did not split
         while True:
             rows = materialize(self._put(classes), "leaves")
@@ -231,8 +252,14 @@ class Index:
         for d, g in self.leaves.groupby("dataset"):
             t = self.trees[d]
             t.radius[g.leaf], t.rows[g.leaf] = g.r * (1 + 1e-12) + 1e-300, g.n
-            t.measured()
-        return rows
+            t.measured(PAGE)
+
+        def paged(g: pd.DataFrame, tree: Tree) -> pd.DataFrame:
+            return g.assign(place=g.leaf, leaf=tree.page[g.leaf.to_numpy()].astype(np.int32))
+
+        out = materialize(self.over_trees(rows, paged, ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", place int"), "pages")
+        release(rows)
+        return out
 
     def parts(self) -> Iterator[dict[str, Tree]]:
         """The trees in parts that are small enough to be broadcast."""
@@ -272,11 +299,11 @@ class Index:
         return self.over_trees(classes, put, schema)
 
     def sizes(self) -> DataFrame:
-        """dataset, leaf, cuts: blocks of each leaf."""
+        """dataset, leaf, cuts: blocks of each page."""
         return self.rows.groupBy("dataset", "leaf").agg(F.ceil(F.count("*") / self.leaf_rows).alias("cuts"))
 
     def leaves_table(self) -> DataFrame:
-        """dataset, leaf: all leaves with rows."""
+        """dataset, leaf: all pages."""
         return self.rows.select("dataset", "leaf").distinct()
 
     def blocked(self, df: DataFrame) -> DataFrame:
@@ -302,9 +329,9 @@ class Index:
                     near = np.argsort(d, axis=1, kind="stable")[:, :k]
                     dist = np.take_along_axis(d, near, 1)
                     i, j = np.nonzero(dist <= cap)
-                    yield pd.DataFrame({"dataset": name, "cid": cid[i], "leaf": g.leaf.to_numpy()[near[i, j]], "d": dist[i, j], "k": k})
+                    yield pd.DataFrame({"dataset": name, "cid": cid[i], "leaf": g.place.to_numpy()[near[i, j]], "d": dist[i, j], "k": k})
 
-        true = self.rows.select("dataset", "cid", "vec", "leaf").mapInPandas(partial, "dataset string, cid long, leaf int, d double, k int")
+        true = self.rows.select("dataset", "cid", "vec", "place").mapInPandas(partial, "dataset string, cid long, leaf int, d double, k int")
         rank = F.row_number().over(Window.partitionBy("cid").orderBy("d"))
         true = true.withColumn("rank", rank).filter("rank <= k").toPandas()  # k rows per calibration vector
         budget = {}
@@ -327,29 +354,27 @@ class Index:
         return budget
 
     def visiting(self, df: DataFrame, budget: dict[str, float] | None, cap: str, skip: dict[str, np.ndarray] | None = None) -> DataFrame:
-        """cid, dataset, leaf: the leaves that each row of df (cid, dataset, vec, cap, ...) visits, written once. With a budget the row's
-        own leaf (column leaf) is left out, but for a leaf of several blocks. budget None: every leaf within the cap, but for leaves
-        that hold nothing but one component (skip: component of each leaf or -1), if it is the row's own (column comp)."""
+        """cid, dataset, leaf: the pages that each row of df (cid, dataset, vec, cap, ...) visits, written once. With a budget the row's
+        own page (column leaf) is left out, but for one of several blocks. budget None: every page with a leaf within the cap, but for
+        pages that hold nothing but one component (skip: component of each page or -1), if it is the row's own (column comp)."""
         big = self.leaf_rows
 
         def visit(g: pd.DataFrame, tree: Tree) -> pd.DataFrame:
             q, within, name = stacked(g.vec), g[cap].to_numpy(float), g.dataset.iloc[0]
             if budget is None:
-                near = tree.near_leaves(q, within)
-                if skip is not None:
-                    near &= skip[name][None, :] != g.comp.to_numpy()[:, None]
-                row, leaf = np.nonzero(near)
+                row, leaf = tree.page_of(*np.nonzero(tree.near_leaves(q, within)))
+                other = np.ones(len(row), bool) if skip is None else skip[name][leaf] != g.comp.to_numpy()[row]
             else:
-                row, leaf = tree.visits(q, budget[name], within)
-                other = (leaf != g.leaf.to_numpy()[row]) | (tree.rows[leaf] > big)
-                row, leaf = row[other], leaf[other]
+                row, leaf = tree.page_of(*tree.visits(q, budget[name], within))
+                other = (leaf != g.leaf.to_numpy()[row]) | (tree.page_rows[leaf] > big)
+            row, leaf = row[other], leaf[other]
             return pd.DataFrame({"cid": g.cid.to_numpy()[row], "dataset": name, "leaf": leaf.astype(np.int32)})
 
         return materialize(self.over_trees(df, visit, "cid long, dataset string, leaf int"), "visits")
 
     def meeting(self, visits: DataFrame, ask: DataFrame, hold: DataFrame, kernel, schema: str) -> DataFrame:
         """kernel(visitors, rows) for each part of the visitors (visits: cid, dataset, leaf; ask: cid and what the kernel wants of them) of a
-        leaf and each block of its rows (hold: cid, dataset, leaf, vec, ...)."""
+        page and each block of its rows (hold: cid, dataset, leaf, vec, ...)."""
         keys = ["dataset", "leaf", "block", "part"]
         load = visits.groupBy("dataset", "leaf").agg(F.ceil(F.count("*") / VISITORS).alias("parts")).join(self.sizes(), ["dataset", "leaf"])
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -367,7 +392,7 @@ class Index:
 
     def own_leaf(self, degree: str, cap: str, *others: str) -> DataFrame:
         """cid, dataset, vec, leaf, bound and others of each class, with near: its nearest `degree` (a column) classes within the cap
-        in its own leaf block, itself among them, as structs of d and cid; bound: the distance of the last of them, or the cap."""
+        in its own page block, itself among them, as structs of d and cid; bound: the distance of the last of them, or the cap."""
         cols = ["cid", "dataset", "vec", "leaf", *others]
         types = dict(self.rows.dtypes)
         schema = ", ".join(f"{c} {types[c]}" for c in cols) + ", bound double, gaps array<double>, ids array<bigint>"
