@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators.hotdeck import hot_deck, masked_error
 from chronoloom.operators.spikes import implausible_readings
-from chronoloom.operators.widen import empty_cells, reading_cells, reading_grid, wide_table
+from chronoloom.operators.widen import empty_readings, reading_cells, wide_table
 from chronoloom.storage import table
 
 
@@ -25,7 +25,7 @@ def p2_rolling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return empty_cells(reading_grid(table(spark, d, "eeg_readings"), table(spark, d, "sensors")), "sensor_pos")
+    return empty_readings(table(spark, d, "eeg_readings"), table(spark, d, "sensors"))
 
 
 def p4_wide(spark: SparkSession, d: str) -> DataFrame:

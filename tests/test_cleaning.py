@@ -6,7 +6,7 @@ import pytest
 from chronoloom.functions.numbers import known_word, parse_number
 from chronoloom.operators.hotdeck import fill_block, hot_deck, weighted_median
 from chronoloom.operators.spikes import chunks, implausible, reading_spikes, sample_spikes
-from chronoloom.operators.widen import empty_cells, reading_cells, reading_grid, wide_table
+from chronoloom.operators.widen import completed, empty_cells, empty_readings, reading_cells, wide_table
 
 READINGS = "rec_id long, subject_id long, trail_num int, sensor_pos string, sample_num int, sensor_val string, loaded_at timestamp_ntz"
 SENSORS = "sensor_pos string, alt_name string, unit string, phys_lo double, phys_hi double"
@@ -134,20 +134,28 @@ def test_rolling_query_has_both_origins(spark, sensors, tmp_path):
 def test_wide_table(spark, sensors):
     rows = [(1, 1, 0, "C3", 0, "1,5", at(1)), (1, 1, 0, "c3 ", 0, "2.5", at(3)), (1, 1, 0, "T3", 1, "4 uV", at(1)), (1, 1, 0, "T7", 1, "", at(2)), (1, 1, 0, "T7", 0, "8", at(1)), (1, 1, 1, "C3", 0, "n/a", at(1)), (1, 1, 2, "AUX", 5, "1", at(1))]
     df = spark.createDataFrame([(*r, "clash") for r in rows], READINGS + ", wanted string")
-    grid = reading_grid(df, sensors)
-    assert sorted(map(tuple, empty_cells(grid, "sensor_pos").collect())) == [(1, 0, 1, "C3"), (1, 0, 1, "T7")]
+    assert sorted(map(tuple, empty_readings(df, sensors).collect())) == [(1, 0, 1, "C3"), (1, 0, 1, "T7")]
     wide = wide_table(reading_cells(df, sensors), {"C3": "double", "T7": "int", "rec_id": "double", "AF3": "string"})
     assert wide.columns == ["rec_id", "trail_num", "sample_num", "C3", "T7", "rec_id_", "AF3"]
     assert sorted(map(tuple, wide.collect()), key=str) == [(1, 0, 0, 2.5, 8, None, None), (1, 0, 1, None, None, None, None), (1, 1, 0, None, None, None, None)]
-    assert reading_grid(df.filter("false"), sensors).count() == 0
+    assert empty_readings(df.filter("false"), sensors).count() == 0 and empty_readings(df, sensors.filter("false")).count() == 0
 
 
 def test_latest_version_with_and_without_texts(spark, sensors):
     rows = [(1, 1, 0, "C3", 0, "1", None), (1, 1, 0, "C3", 1, "1", None), (1, 1, 0, "C3", 1, "", at(1)), (1, 1, 0, "C3", 2, "1", at(2)), (1, 1, 0, "C3", 2, "", at(2)), (1, 1, 0, "C3", 3, "", at(3)), (1, 1, 0, "C3", 3, "2", at(1)), (1, 1, 0, "C3", 4, "", None), (1, 1, 0, "C3", 5, "", at(1)), (1, 1, 0, "C3", 5, "4", at(2))]
     df = spark.createDataFrame(rows, READINGS)
-    for texts in (True, False):
-        got = {r.sample_num for r in reading_cells(df, sensors, texts).collect() if r.found}
-        assert got == {0, 2, 5}
+    assert {r.sample_num for r in reading_cells(df, sensors).collect() if r.found} == {0, 2, 5}
+    assert {r.sample_num for r in empty_readings(df, sensors).collect()} == {1, 3, 4}
+
+
+def test_more_attributes_than_bits_of_a_column(spark):
+    names = [f"a{k:03d}" for k in range(150)]
+    rows = [(1, e, k, 1.0 if (k + e) % 3 else None, at(1)) for e in (0, 1) for k in range(150) if k % 5]
+    df = spark.createDataFrame(rows, "g long, e long, place int, v double, seen timestamp_ntz")
+    grid = completed(df, ["g"], ["e"], "place", "v", "seen", names)
+    held = {e: {k for _, x, k, v, _ in rows if x == e and v is not None} for e in (0, 1)}
+    want = {(1, e, names[k]) for e in (0, 1) for k in (held[0] | held[1]) - held[e]}
+    assert {tuple(r) for r in empty_cells(grid, names, "name").collect()} == want and len(want) > 50
 
 
 def test_typed_columns_come_from_the_text(spark, sensors):
