@@ -188,23 +188,27 @@ class Search:
             out += self.terms[m[:, k]]
         return unit(out)
 
-    def candidates(self, m: np.ndarray, least: float = NEAR) -> tuple[np.ndarray, np.ndarray]:
-        """(row of m, window) with a cosine of at least `least`. From NEAR on, where passages are equal, a row is compared with the
-        windows of its nearest centres; below, with those of every centre that may hold such a window by the angles."""
-        # Equal passages, which a corpus is full of, are searched once.
+    def _once(self, m: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray] | None:
+        """candidates() with equal passages, which a corpus is full of, searched once; None if there are none."""
         key = np.zeros(len(m), np.uint64)
         for k in range(m.shape[1]):
             key = (key ^ (m[:, k].astype(np.int64) + 2).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
         _, first, back = np.unique(key, return_index=True, return_inverse=True)
-        if (m[first][back] == m).all():  # else two passages share a key
-            if len(first) < len(m):
-                row, win = self.candidates(m[first], least)
-                per = np.bincount(row, minlength=len(first))
-                order, start = np.argsort(row, kind="stable"), np.cumsum(per) - per
-                n = per[back]
-                at = np.arange(n.sum()) + np.repeat(start[back] - (np.cumsum(n) - n), n)
-                return np.repeat(np.arange(len(m)), n), win[order][at]
+        if len(first) == len(m) or (m[first][back] != m).any():  # nothing is repeated, or two passages share a key
+            return None
+        row, win = self.candidates(m[first], least)
+        per = np.bincount(row, minlength=len(first))
+        order, start = np.argsort(row, kind="stable"), np.cumsum(per) - per
+        n = per[back]
+        at = np.arange(n.sum()) + np.repeat(start[back] - (np.cumsum(n) - n), n)
+        return np.repeat(np.arange(len(m)), n), win[order][at]
+
+    def candidates(self, m: np.ndarray, least: float = NEAR) -> tuple[np.ndarray, np.ndarray]:
+        """(row of m, window) with a cosine of at least `least`. From NEAR on, where passages are equal, a row is compared with the
+        windows of its nearest centres; below, with those of every centre that may hold such a window by the angles."""
+        if least < NEAR and (few := self._once(m, least)) is not None:
+            return few
         x = self.place(m)
         near = x @ self.centres.T
         if least >= NEAR:
