@@ -69,7 +69,7 @@ def scanned() -> Iterator[int]:
 
 @lru_cache(maxsize=1)
 def stability() -> tuple[dict[int, str | None], re.Pattern]:
-    """The look table, and a pattern of the unstable segments."""
+    """The look table, and a pattern of the runs of unstable characters."""
     table = look_table()
     second = set()  # what composes with a character before it
     for i in scanned():
@@ -84,7 +84,7 @@ def stability() -> tuple[dict[int, str | None], re.Pattern]:
             runs.append(f"\\U{loose[start]:08x}-\\U{loose[k - 1]:08x}")
             start = k
     unstable = "".join(runs)
-    return table, re.compile(f"(?s)[^{unstable}]?[{unstable}]+")
+    return table, re.compile(f"[{unstable}]+")
 
 
 def form_of(s: str, table: dict[int, str | None]) -> str:
@@ -98,8 +98,7 @@ class Former:
         self.table, self.unstable = stability()
         self.kept, self.keep = {}, keep
 
-    def _segment(self, m: re.Match) -> str:
-        s = m.group()
+    def _form(self, s: str) -> str:
         form = self.kept.get(s)
         if form is None:
             form = form_of(s, self.table)
@@ -108,7 +107,14 @@ class Former:
         return form
 
     def canonical(self, text: str) -> str:
-        return text if text.isascii() else self.unstable.sub(self._segment, text)
+        if text.isascii():
+            return text
+        out, last = [], 0
+        for m in self.unstable.finditer(text):
+            at = max(m.start() - 1, last)  # with the character before, if it is not in the segment before
+            out += (text[last:at], self._form(text[at : m.end()]))
+            last = m.end()
+        return "".join([*out, text[last:]]) if last else text
 
 
 def canonical_texts(docs: DataFrame, text: str = "text", out: str = "canonical") -> DataFrame:
